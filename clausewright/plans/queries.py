@@ -2,5 +2,32 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from clausewright.operators import snapshots
+from clausewright.runtime import load
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return snapshots.snapshot_changes(load(spark, d, "bylaw_snapshots"))
+
+
+QUERIES: dict = {"p2_found": p2_found}
+SQL: dict = {
+    "p2_found": r"""
+WITH r AS (
+  SELECT snapshot_no, lower(trim(url)) u, try_cast(fetched_at AS timestamptz) t, nullif(lower(trim(content_sha256)), '') h FROM bylaw_snapshots
+), c AS (
+  SELECT snapshot_no, 'https://' || regexp_replace(regexp_replace(regexp_replace(regexp_replace(u, '[?#].*$', ''), '^(https?:)?//', ''), '^www\.', ''), '/+$', '') url, t, h FROM r
+), l AS (
+  SELECT snapshot_no, url, h FROM c QUALIFY row_number() OVER (PARTITION BY snapshot_no, url ORDER BY t DESC NULLS LAST, h DESC NULLS LAST) = 1
+), f AS (
+  SELECT snapshot_no, url, last_value(h IGNORE NULLS) OVER (PARTITION BY url ORDER BY snapshot_no ROWS UNBOUNDED PRECEDING) h FROM l
+)
+SELECT coalesce(n.snapshot_no, o.snapshot_no + 1)::INT AS snapshot_no, coalesce(n.url, o.url) AS url,
+       CASE WHEN o.url IS NULL THEN 'added' WHEN n.url IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM f n FULL JOIN f o ON n.url = o.url AND n.snapshot_no = o.snapshot_no + 1
+WHERE coalesce(n.snapshot_no, o.snapshot_no + 1) BETWEEN (SELECT min(snapshot_no) + 1 FROM f) AND (SELECT max(snapshot_no) FROM f)
+  AND (o.url IS NULL OR n.url IS NULL OR (o.h IS NOT NULL AND n.h <> o.h))""",
+}
