@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.llm import nearcopies
+from clausewright.llm import boilerplate, nearcopies, splitting
+from clausewright.llm.items import text_items
 from clausewright.runtime import load
 
 
@@ -21,9 +22,68 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return nearcopies.copy_groups(*_copies(spark, d)).withColumnRenamed("id", "chunk_id")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    pieces = splitting.split_oversized(text_items(spark, d), ["item_kind", "item_id"])
+    return pieces.filter("chunk_index = 1").select("item_kind", "item_id").distinct()
+
+
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_oversized(text_items(spark, d), ["item_kind", "item_id"]).distinct()
+
+
+def _site_lines(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    chunks = load(spark, d, "bylaw_chunks")
+    return chunks, *boilerplate.site_lines(chunks, "chunk_id", "bylaw_id", "city", "chunk_text")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    _, _, found = _site_lines(spark, d)
+    return found.select(F.col("doc").alias("chunk_id"), "line_no").distinct()
+
+
+def p6_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Each boilerplate block of a city: its lines, and the by-laws of its most frequent line."""
+    _, nodes, found = _site_lines(spark, d)
+    blocks = boilerplate.boilerplate_blocks(found, nodes)
+    return nodes.join(blocks, ["k1", "k2"]).groupBy(F.col("source").alias("city"), "block").agg(F.count("*").alias("n_lines"), F.max("n_groups").alias("n_bylaws")).drop("block")
+
+
+def p6_clean(spark: SparkSession, d: str) -> DataFrame:
+    chunks, _, found = _site_lines(spark, d)
+    return boilerplate.remove_lines(chunks, "chunk_id", "chunk_text", found).select(F.col("doc").alias("chunk_id"), F.col("text").alias("chunk_text"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
+    "p3_found": p3_found,
+    "p3_pieces": p3_pieces,
+    "p6_found": p6_found,
+    "p6_blocks": p6_blocks,
+    "p6_clean": p6_clean,
 }
 
-SQL: dict[str, str] = {}
+_P6 = r"""
+WITH t AS (SELECT chunk_id, bylaw_id, lower(trim(city)) city, string_split(chunk_text, chr(10)) ls FROM bylaw_chunks
+           WHERE chunk_id IS NOT NULL AND bylaw_id IS NOT NULL AND trim(city) <> ''),
+l AS (SELECT chunk_id, bylaw_id, city, unnest(ls) line, generate_subscripts(ls, 1)::INT line_no FROM t),
+k AS (SELECT chunk_id, bylaw_id, city, line_no, trim(regexp_replace(lower(regexp_replace(line, '[0-9]', '', 'g')), '[^a-z]+', ' ', 'g')) k FROM l),
+w AS (SELECT * FROM k WHERE k <> '' AND length(k) - length(replace(k, ' ', '')) >= 3),
+n AS (SELECT city, k, count(DISTINCT bylaw_id) c FROM w GROUP BY city, k),
+a AS (SELECT lower(trim(city)) city, count(DISTINCT bylaw_id) m FROM bylaw_chunks GROUP BY 1),
+hot AS (SELECT city, k FROM n JOIN a USING (city) WHERE c >= 5 AND c >= 0.04 * m - 1e-9)
+"""
+
+SQL: dict[str, str] = {
+    "p3_found": r"""
+WITH i AS (SELECT 'bylaw' item_kind, scrape_id item_id, text t FROM bylaws UNION ALL SELECT 'chunk', chunk_id, chunk_text FROM bylaw_chunks)
+SELECT DISTINCT item_kind, item_id FROM i
+WHERE length(regexp_replace(regexp_replace(regexp_replace(t, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g')) > 1000""",
+    "p6_found": _P6 + "SELECT DISTINCT chunk_id, line_no FROM w JOIN hot USING (city, k)",
+    "p6_clean": _P6 + """
+, gone AS (SELECT DISTINCT chunk_id, line_no FROM w JOIN hot USING (city, k)),
+d AS (SELECT chunk_id, min(chunk_text) t FROM bylaw_chunks GROUP BY 1),
+s AS (SELECT chunk_id, unnest(string_split(t, chr(10))) line, generate_subscripts(string_split(t, chr(10)), 1)::INT line_no FROM d),
+j AS (SELECT chunk_id, string_agg(line, chr(10) ORDER BY line_no) t FROM s ANTI JOIN gone USING (chunk_id, line_no) GROUP BY 1)
+SELECT d.chunk_id, CASE WHEN d.t IS NOT NULL THEN coalesce(j.t, '') END AS chunk_text FROM d LEFT JOIN j USING (chunk_id)""",
+}
