@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.llm import boilerplate, nearcopies, splitting
+from clausewright.llm import boilerplate, leakage, nearcopies, neighbours, splitting
 from clausewright.llm.items import text_items
 from clausewright.runtime import load
 
@@ -31,6 +31,16 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(text_items(spark, d), ["item_kind", "item_id"]).distinct()
 
 
+def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    near = neighbours.similar_vectors(load(spark, d, "bylaw_chunks"), "chunk_id", "chunk_embedding", dim=64, k=5)
+    return near.select(F.col("id").alias("chunk_id"), F.col("other").alias("neighbour_id"), F.round(F.col("similarity").cast("double"), 5).alias("similarity"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    near = neighbours.similar_vectors(load(spark, d, "bylaw_chunks"), "chunk_id", "chunk_embedding", dim=64, k=5, min_similarity=0.90)
+    return near.select(F.least("id", "other").alias("chunk_id_a"), F.greatest("id", "other").alias("chunk_id_b")).distinct()
+
+
 def _site_lines(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     chunks = load(spark, d, "bylaw_chunks")
     return chunks, *boilerplate.site_lines(chunks, "chunk_id", "bylaw_id", "city", "chunk_text")
@@ -53,14 +63,21 @@ def p6_clean(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.remove_lines(chunks, "chunk_id", "chunk_text", found).select(F.col("doc").alias("chunk_id"), F.col("text").alias("chunk_text"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_items(load(spark, d, "documents"), load(spark, d, "eval_items"), doc="doc_id", text="text", item="item_id", item_text="text")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p4_found": p4_found,
+    "p4_neighbours": p4_neighbours,
     "p6_found": p6_found,
     "p6_blocks": p6_blocks,
     "p6_clean": p6_clean,
+    "p9_found": p9_found,
 }
 
 _P6 = r"""
@@ -79,6 +96,12 @@ SQL: dict[str, str] = {
 WITH i AS (SELECT 'bylaw' item_kind, scrape_id item_id, text t FROM bylaws UNION ALL SELECT 'chunk', chunk_id, chunk_text FROM bylaw_chunks)
 SELECT DISTINCT item_kind, item_id FROM i
 WHERE length(regexp_replace(regexp_replace(regexp_replace(t, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g')) > 1000""",
+    "p9_found": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') w FROM eval_items),
+dr AS (SELECT DISTINCT doc_id, array_to_string(w[s:s+11], ' ') r FROM d, range(1, len(w) - 10) t(s)),
+ir AS (SELECT DISTINCT item_id, array_to_string(w[s:s+11], ' ') r FROM i, range(1, len(w) - 10) t(s))
+SELECT DISTINCT doc_id, item_id FROM dr JOIN ir USING (r)""",
     "p6_found": _P6 + "SELECT DISTINCT chunk_id, line_no FROM w JOIN hot USING (city, k)",
     "p6_clean": _P6 + """
 , gone AS (SELECT DISTINCT chunk_id, line_no FROM w JOIN hot USING (city, k)),
