@@ -1,7 +1,7 @@
 """The k most similar vectors of every vector (problem 4): a permutation index.
 
 A vector is represented by its nearest pivots in order. It is posted in the inverted files of the pairs among its
-first three pivots; within a file vectors are ranked by the footrule distance of their pivot orders, and the best
+first four pivots; within a file vectors are ranked by the footrule distance of their pivot orders, and the best
 are reranked by cosine.
 """
 
@@ -47,7 +47,7 @@ def unit_vectors(rows: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFr
 def _poster(pivots: np.ndarray):
     n = len(pivots)
     depth = min(PERM, n)
-    first = [(i, j) for j in range(1, min(3, n)) for i in range(j)] or [(0, 0)]
+    first = [(i, j) for j in range(1, min(4, n)) for i in range(j)] or [(0, 0)]
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

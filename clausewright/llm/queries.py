@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.llm import boilerplate, leakage, nearcopies, neighbours, splitting
+from clausewright.llm import boilerplate, leakage, nearcopies, neighbours, scans, splitting
 from clausewright.llm.items import text_items
 from clausewright.runtime import load
 
@@ -63,6 +63,20 @@ def p6_clean(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.remove_lines(chunks, "chunk_id", "chunk_text", found).select(F.col("doc").alias("chunk_id"), F.col("text").alias("chunk_text"))
 
 
+def _repaired(spark: SparkSession, d: str) -> DataFrame:
+    titles = load(spark, d, "chapter_index").select("bylaw_id", F.col("title").alias("title2"))
+    return scans.repair_scans(text_items(spark, d), titles)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _repaired(spark, d).select("item_kind", "item_id", F.explode("noise").alias("noise"))
+
+
+def p7_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """The repaired text of every item that held noise."""
+    return _repaired(spark, d).filter(F.size("noise") > 0).select("item_kind", "item_id", "text")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(load(spark, d, "documents"), load(spark, d, "eval_items"), doc="doc_id", text="text", item="item_id", item_text="text")
 
@@ -77,6 +91,8 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_blocks": p6_blocks,
     "p6_clean": p6_clean,
+    "p7_found": p7_found,
+    "p7_repaired": p7_repaired,
     "p9_found": p9_found,
 }
 
