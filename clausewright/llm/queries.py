@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.llm import boilerplate, leakage, nearcopies, neighbours, scans, splitting
+from clausewright.llm import boilerplate, leakage, nearcopies, neighbours, pairs, scans, splitting
 from clausewright.llm.items import text_items
 from clausewright.runtime import load
 
@@ -41,6 +41,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("id", "other").alias("chunk_id_a"), F.greatest("id", "other").alias("chunk_id_b")).distinct()
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    broken = pairs.broken_pairs(load(spark, d, "query_log"), id_col="log_id", query="query", response="ai_response", status="status")
+    return broken.withColumnRenamed("id", "log_id")
+
+
 def _site_lines(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     chunks = load(spark, d, "bylaw_chunks")
     return chunks, *boilerplate.site_lines(chunks, "chunk_id", "bylaw_id", "city", "chunk_text")
@@ -88,6 +93,7 @@ QUERIES = {
     "p3_pieces": p3_pieces,
     "p4_found": p4_found,
     "p4_neighbours": p4_neighbours,
+    "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_blocks": p6_blocks,
     "p6_clean": p6_clean,
