@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.llm import boilerplate, leakage, nearcopies, neighbours, pairs, scans, splitting
+from clausewright.llm import boilerplate, leakage, nearcopies, neighbours, packing, pairs, reading, scans, splitting
 from clausewright.llm.items import text_items
 from clausewright.runtime import load
 
@@ -82,10 +82,32 @@ def p7_repaired(spark: SparkSession, d: str) -> DataFrame:
     return _repaired(spark, d).filter(F.size("noise") > 0).select("item_kind", "item_id", "text")
 
 
+def p8_inputs(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(load(spark, d, "documents"), doc="doc_id", text="text", source="source")
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How many inputs there are, and the share of them that is filled."""
+    used = p8_inputs(spark, d).groupBy("input_no").agg(F.sum("n_tokens").alias("used"))
+    return used.agg(F.count("*").alias("n_inputs"), F.max("used").alias("most"), F.round(F.avg("used") / 2048, 4).alias("filled"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(load(spark, d, "documents"), load(spark, d, "eval_items"), doc="doc_id", text="text", item="item_id", item_text="text")
 
 
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading.reading_levels(load(spark, d, "documents"), load(spark, d, "reading_labels"), doc="doc_id", text="text", level="reading_level")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _levels(spark, d).filter("english and n_words >= 60 and reading_level in (1, 5)").select("doc_id", "reading_level")
+
+
+def p10_levels(spark: SparkSession, d: str) -> DataFrame:
+    return _levels(spark, d).select("doc_id", "reading_level")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
@@ -99,7 +121,11 @@ QUERIES = {
     "p6_clean": p6_clean,
     "p7_found": p7_found,
     "p7_repaired": p7_repaired,
+    "p8_inputs": p8_inputs,
+    "p8_fill": p8_fill,
     "p9_found": p9_found,
+    "p10_found": p10_found,
+    "p10_levels": p10_levels,
 }
 
 _P6 = r"""
