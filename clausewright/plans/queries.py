@@ -2,32 +2,382 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.operators import snapshots
-from clausewright.runtime import load
+from clausewright.functions import text as T
+from clausewright.operators import activity, answer, chunking, embedding, html, search, snapshots
+from clausewright.plans.sql import SQL  # noqa: F401
+from clausewright.runtime import load, shared_dir, spread
+from clausewright.sources import loaders, store
+
+BASE = "https://bylaws.example"
+TODAY = "2024-06-01"
+
+
+# --- search ---------------------------------------------------------------------------------------------------------
+
+
+def _nearest(spark: SparkSession, d: str, which: str) -> DataFrame:
+    e = load(spark, d, "embeddings")
+    ranked = search.top_k(spread(e), e.filter(which), id_col="vec_id", vec_col="embedding", query_id="vec_id", query_vec="embedding", dim=64, k=4, exclude_self=True)
+    return ranked.join(e.select(F.col("vec_id").alias("id"), "label"), "id").select("query_id", F.col("id").alias("vec_id"), "label", "score", "rank")
+
+
+def vector_topk(spark: SparkSession, d: str) -> DataFrame:
+    return _nearest(spark, d, "vec_id = 0")
+
+
+def vector_topk_batch(spark: SparkSession, d: str) -> DataFrame:
+    return _nearest(spark, d, "vec_id % 50 = 0")
+
+
+def _hits(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk whose id is divisible by 50 as query against all chunks of its city."""
+    c = load(spark, d, "bylaw_chunks")
+    v = c.select("chunk_id", "chunk_embedding", F.lower(F.trim("city")).alias("place")).filter("place <> ''")
+    ranked = search.top_k(spread(v), v.filter("chunk_id % 50 = 0").dropDuplicates(["chunk_id"]), id_col="chunk_id", vec_col="chunk_embedding", query_id="chunk_id", query_vec="chunk_embedding", dim=64, k=4, group="place", exclude_self=True)
+    return search.search_hits(ranked, c, "chunk_id")
+
+
+def vector_topk_by_collection(spark: SparkSession, d: str) -> DataFrame:
+    return _hits(spark, d).select("query_id", "rank", "score", F.col("id").alias("chunk_id"), "bylaw_id", "bylaw_title", "bylaw_number", "url")
+
+
+def cosine_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector's cosine with the mean direction of its label's first vector."""
+    e = load(spark, d, "embeddings")
+    first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("anchor"))
+    return e.join(first, "label").select("vec_id", F.round(search.cosine(F.col("embedding"), F.col("anchor")), 6).alias("score"))
+
+
+# --- requests -------------------------------------------------------------------------------------------------------
+
+
+def _log(spark: SparkSession, d: str) -> DataFrame:
+    """The log, each id once: deliveries of an id differ in received_at only."""
+    log = load(spark, d, "query_log")
+    return store.latest_by(log.filter("log_id is not null"), ["log_id"], [F.desc("received_at")])
+
+
+def city_routing(spark: SparkSession, d: str) -> DataFrame:
+    return answer.route_city(_log(spark, d), load(spark, d, "city_registry")).select("log_id", "city", "collection")
+
+
+def request_validation(spark: SparkSession, d: str) -> DataFrame:
+    return answer.validate(answer.route_city(_log(spark, d), load(spark, d, "city_registry"))).select("log_id", "error")
+
+
+def request_decode(spark: SparkSession, d: str) -> DataFrame:
+    bodies = _log(spark, d).select("log_id", F.to_json(F.struct("query", "city", F.col("logged_at").alias("timestamp"))).alias("body"))
+    return loaders.decode_requests(bodies, "body").select("log_id", "query", "city", F.size("conversation_context").alias("n_messages"), "timestamp")
+
+
+def response_decode(spark: SparkSession, d: str) -> DataFrame:
+    bodies = _log(spark, d).select("log_id", F.to_json(F.struct("ai_response", "retrieved_sources")).alias("body"))
+    return loaders.decode_responses(bodies, "body").select("log_id", "ai_response", F.coalesce(F.size("retrieved_sources"), F.lit(0)).alias("n_sources"))
+
+
+def city_requests(spark: SparkSession, d: str) -> DataFrame:
+    return _log(spark, d).select("log_id", answer.city_request_body(F.col("city"), F.col("ai_error"), F.col("message")).alias("body"))
+
+
+def feedback(spark: SparkSession, d: str) -> DataFrame:
+    return _log(spark, d).select("log_id", answer.feedback_body(F.col("message"), F.col("ai_error")).alias("body"))
+
+
+def input_caps(spark: SparkSession, d: str) -> DataFrame:
+    return _log(spark, d).select("log_id", T.cap("query", 50).alias("query_50"), T.cap("ai_response", 500).alias("response_500"), T.cap("ai_response", 200).alias("response_200"))
+
+
+# --- text -----------------------------------------------------------------------------------------------------------
+
+
+def slug_filename(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "bylaws").select("title", T.slug_filename("title").alias("slug")).distinct()
+
+
+def slug_id(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "bylaws").select("title", T.slug_id("title").alias("slug")).distinct()
+
+
+def bylaw_id(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "chapter_index").select("bylaw_id", T.stable_bylaw_id("city", "bylaw_number", "title").alias("stable_id"))
+
+
+def content_hash(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "bylaws").select("scrape_id", T.content_hash("text").alias("text_hash")).distinct()
+
+
+def nonblank_filter(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "bylaw_chunks").filter(T.non_blank("chunk_text")).select("chunk_id").distinct()
+
+
+def whitespace_normalize(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "bylaws").select("scrape_id", T.normalize_whitespace("text").alias("text")).distinct()
+
+
+def newline_collapse(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "bylaws").select("scrape_id", T.collapse_newlines(T.normalize_whitespace("text")).alias("text")).distinct()
+
+
+def paragraph_split(spark: SparkSession, d: str) -> DataFrame:
+    p = load(spark, d, "documents").select("doc_id", F.posexplode(T.split_paragraphs("text")).alias("pos", "paragraph"))
+    return p
+
+
+def sentence_split(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "documents").select("doc_id", F.posexplode(T.split_sentences("text")).alias("pos", "sentence"))
+
+
+def year_number(spark: SparkSession, d: str) -> DataFrame:
+    around = F.concat(F.col("title"), F.lit(" ("), F.substring("bylaw_number", 1, 4), F.lit(") - "), F.substring("bylaw_number", 6, 10))
+    return load(spark, d, "chapter_index").select("bylaw_id", T.bylaw_year(around).alias("year"), T.bylaw_number(around).alias("number"))
+
+
+def lenient_dates(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "bylaws").select("scrape_id", T.date_or_raw("last_passed").alias("passed"), T.date_or_raw("last_amended").alias("amended")).distinct()
+
+
+def url_join(spark: SparkSession, d: str) -> DataFrame:
+    links = load(spark, d, "chapter_index").select("bylaw_id", F.explode(F.array("pdf_url", F.concat(F.lit("/files/"), T.slug_id("title"), F.lit(".pdf")), F.concat(F.lit("files/"), T.slug_id("title")))).alias("href"))
+    return links.select("bylaw_id", "href", T.url_join("href", BASE + "/index/list.htm").alias("url")).distinct()
+
+
+# --- chunks ---------------------------------------------------------------------------------------------------------
+
+
+def _fixed(spark: SparkSession, d: str, overlap: int, first: int = 0) -> DataFrame:
+    return chunking.explode_chunks(load(spark, d, "documents"), chunking.fixed_chunks(F.col("text"), 1000, overlap), ["doc_id", "source"], first)
+
+
+def fixed_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return _fixed(spark, d, 100).select("doc_id", "chunk_index", "chunk_text")
+
+
+def chunk_sequence(spark: SparkSession, d: str) -> DataFrame:
+    c = _fixed(spark, d, 100, 1)
+    return c.select("doc_id", F.col("chunk_index").alias("chunk_sequence"), T.content_hash("chunk_text").alias("content_sha256"))
+
+
+def chunk_overlap(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.with_overlap(_fixed(spark, d, 0), "doc_id", 150).select("doc_id", "chunk_index", "chunk_text")
+
+
+def chunk_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _fixed(spark, d, 100).groupBy("source").agg(F.count("*").alias("n_chunks"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+def packed_chunks(spark: SparkSession, d: str) -> DataFrame:
+    laws = store.latest_by(load(spark, d, "bylaws").filter("scrape_id is not null"), ["scrape_id"], [F.desc("fetched_at")])
+    chunks = chunking.explode_chunks(spread(laws.select("scrape_id", "text")), chunking.packed_chunks(F.col("text")), ["scrape_id"])
+    return chunking.with_overlap(chunks, "scrape_id", 150)
+
+
+# --- pages ----------------------------------------------------------------------------------------------------------
+
+
+def chapter_table(spark: SparkSession, d: str) -> DataFrame:
+    """The chapter index from listing pages with unclosed cells, one page an entry."""
+    head = F.lit('<html><body><table class="wide bylawDefault"><tr><th>Chapter<th>Title</tr><tr><td class="s2"><a href="')
+    page = F.concat(head, F.coalesce("pdf_url", F.lit("")), F.lit('"> '), F.col("bylaw_id"), F.lit("</a></td></td><td>"), F.coalesce("title", F.lit("")), F.lit("<td>amended <a href='x.pdf'>x</a></tr></table></body></html>"))
+    pages = load(spark, d, "chapter_index").select(F.col("bylaw_id").alias("page"), page.alias("html"))
+    return html.chapter_index(html.html_rows(spread(pages), "html"), ["page"], BASE).select("bylaw_id", "title", "pdf_url")
+
+
+def _linked(spark: SparkSession, d: str) -> DataFrame:
+    slug = F.regexp_replace("bylaw_id", ".*::", "")
+    body = [
+        '<a href="mailto:clerk@city.example">m</a><a href="tel:1">t</a><div id="printAreaContent"><a href="/', slug, '-bylaw.aspx">a</a> <b><a href="', slug, '-bylaw.aspx">b</a></b><a href="https://x.example/',
+        slug, '-bylaw.aspx">c</a><a href="/', slug, '-BYLAW.ASPX">d</a><a href="/wp-content/uploads/', slug, '.PDF">e</a><a href="/', slug, '-bylaw.aspx">again</a></div>',
+    ]
+    pages = load(spark, d, "chapter_index").select("bylaw_id", F.concat(*(F.lit(x) if isinstance(x, str) else x for x in body)).alias("html"))
+    return html.html_links(spread(pages), "html")
+
+
+def page_links(spark: SparkSession, d: str) -> DataFrame:
+    """Links to by-law pages, absolute, each once a page at its first place."""
+    found = _linked(spark, d).filter(html.is_page_link(F.col("href"))).select("bylaw_id", "pos", T.page_link("href", BASE).alias("url"))
+    return html.first_seen(found, "url", "pos", ["bylaw_id"])
+
+
+def first_pdf(spark: SparkSession, d: str) -> DataFrame:
+    """The first upload PDF of each page under the three ways of making it absolute."""
+    pdf = _linked(spark, d).filter(html.is_upload_link(F.col("href"))).groupBy("bylaw_id").agg(F.min_by("href", "pos").alias("href"))
+    return pdf.select("bylaw_id", T.pdf_link("href", BASE).alias("pdf_url"), T.plain_link("href", BASE).alias("plain_url"))
+
+
+def page_meta(spark: SparkSession, d: str) -> DataFrame:
+    p = lambda label, c: F.coalesce(F.concat(F.lit(f'<p class="x IntroParagraph">{label} '), F.col(c), F.lit("</p>")), F.lit(""))
+    page = F.concat(F.lit("<h1> <b>By-law</b> page</h1>"), p("Bylaw number:", "bylaw_number"), p("Last passed by council:", "last_passed"))
+    meta = html.html_meta(load(spark, d, "bylaws").select("scrape_id", page.alias("html")), "html")
+    meta = meta.withColumns({"n": F.size("meta.intro")})
+    number = F.when(F.col("n") > 0, F.try_element_at(F.filter(F.transform("meta.intro", T.labelled_number), lambda x: x.isNotNull()), F.lit(-1)))
+    passed = F.when(F.col("n") > 0, F.try_element_at(F.filter(F.transform("meta.intro", T.labelled_passed), lambda x: x.isNotNull()), F.lit(-1)))
+    return meta.select("scrape_id", F.col("meta.h1").alias("h1"), number.alias("number"), T.py_strip(passed).alias("passed_raw")).distinct()
+
+
+def html_text(spark: SparkSession, d: str) -> DataFrame:
+    page = F.concat(F.lit("<nav>menu</nav><main><h1>"), F.coalesce("bylaw_title", F.lit("")), F.lit("</h1><p>"), F.regexp_replace(F.coalesce("chunk_text", F.lit("")), "\n", "</p><p>"), F.lit("</p></main>"))
+    return html.html_text(spread(load(spark, d, "bylaw_chunks").select("chunk_id", page.alias("html"))), "html").distinct()
+
+
+def links_distinct(spark: SparkSession, d: str) -> DataFrame:
+    """Chapters distinct by title, the first in the index kept."""
+    c = load(spark, d, "chapter_index").withColumn("at", F.struct("pos", "bylaw_id"))
+    return html.first_seen(c, "title", "at").select("title", "bylaw_id")
+
+
+# --- store ----------------------------------------------------------------------------------------------------------
+
+
+def json_loader(spark: SparkSession, d: str) -> DataFrame:
+    laws = load(spark, d, "bylaws").select("scrape_id", F.to_json(F.struct("title", "url", "text", "bylaw_number", "fetched_at")).alias("body"))
+    return laws.select("scrape_id", loaders.json_fields(F.col("body"), F.concat(F.lit("file"), "scrape_id")).alias("j")).select("scrape_id", "j.*").distinct()
+
+
+def exists_scan(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "bylaw_chunks").filter("chunk_text is not null").agg(F.count("*").alias("n"))
+
+
+def ingest_counters(spark: SparkSession, d: str) -> DataFrame:
+    c = load(spark, d, "bylaw_chunks").groupBy(F.lower(F.trim("city")).alias("place"))
+    return c.agg(F.count("*").alias("n_rows"), F.countDistinct("bylaw_id").alias("n_bylaws"), F.countDistinct("chunk_id").alias("n_chunks"))
+
+
+def missing_embedding(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "bylaw_chunks").filter("chunk_embedding is null").select("chunk_id").distinct()
+
+
+def chunk_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """All deliveries of chunks upserted into an empty store: of one key the latest ingested stays."""
+    c = load(spark, d, "bylaw_chunks").select("chunk_id", *store.KEY, "ingested_at")
+    latest = [F.desc_nulls_last(F.try_to_timestamp("ingested_at")), F.desc_nulls_last("ingested_at"), F.asc("chunk_id")]
+    return store.upsert(c.limit(0), c, order=latest)
+
+
+def snapshot_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """The last snapshot upserted into the ones before it, by url and content."""
+    s = load(spark, d, "bylaw_snapshots").select("url", "content_sha256", "snapshot_no")
+    last = s.agg(F.max("snapshot_no").alias("n"))
+    s = s.join(F.broadcast(last), s.snapshot_no == last.n, "left")  # one row
+    old = s.filter("n is null").groupBy("url", "content_sha256").agg(F.max("snapshot_no").alias("snapshot_no"))
+    return store.upsert(old, s.filter("n is not null").drop("n"), ["url", "content_sha256"], [F.desc("snapshot_no")])
+
+
+def bulk_append(spark: SparkSession, d: str) -> DataFrame:
+    """Rows by key after the same insertion twice."""
+    c = load(spark, d, "bylaws").select("scrape_id")
+    return store.append(c, c).groupBy("scrape_id").agg(F.count("*").alias("n"))
+
+
+def update_embedding(spark: SparkSession, d: str) -> DataFrame:
+    c = load(spark, d, "bylaw_chunks").select("chunk_id", "embedding_model", F.col("chunk_embedding").isNull().alias("missing"))
+    new = c.filter("missing").select("chunk_id", F.lit(embedding.HashingEmbedder.name).alias("embedding_model"))
+    return store.update_column(c, "chunk_id", new, "embedding_model").select("chunk_id", "embedding_model").distinct()
+
+
+def key_uniqueness(spark: SparkSession, d: str) -> DataFrame:
+    return store.duplicate_keys(load(spark, d, "bylaw_chunks"))
+
+
+def slug_last_wins(spark: SparkSession, d: str) -> DataFrame:
+    return store.files_by_slug(load(spark, d, "bylaws"), "title", "scrape_id").select("slug", "scrape_id")
+
+
+def change_detection(spark: SparkSession, d: str) -> DataFrame:
+    s = load(spark, d, "bylaw_snapshots")
+    return store.detect_changes(s.filter("snapshot_no = 1"), s.filter("snapshot_no = 2"), "url", "content_sha256")
+
+
+# --- answers --------------------------------------------------------------------------------------------------------
+
+
+def context_concat(spark: SparkSession, d: str) -> DataFrame:
+    return answer.context_text(_hits(spark, d))
+
+
+def source_list(spark: SparkSession, d: str) -> DataFrame:
+    s = answer.source_list(_hits(spark, d))
+    return s.select("query_id", F.posexplode("sources").alias("pos", "s")).select("query_id", "pos", "s.title", "s.bylaw_id", "s.pdf_url")
+
+
+def sources_dedup_top5(spark: SparkSession, d: str) -> DataFrame:
+    s = _log(spark, d).select("log_id", F.posexplode(answer.distinct_sources(F.col("retrieved_sources"))).alias("pos", "s"))
+    return s.select("log_id", "pos", answer.source_label(F.col("s.title"), F.col("s.bylaw_id")).alias("label"))
+
+
+def _messages(spark: SparkSession, d: str) -> DataFrame:
+    m = lambda me, c: F.struct(F.lit(me).alias("fromMe"), F.col(c).alias("text"), F.col("logged_at").alias("timestamp"))
+    return _log(spark, d).withColumn("messages", F.array(m(True, "query"), m(False, "ai_response"), m(True, "city"), m(False, "message")))
+
+
+def history_text(spark: SparkSession, d: str) -> DataFrame:
+    return _messages(spark, d).select("log_id", answer.history_text(F.col("messages")).alias("history"))
+
+
+def history_first3(spark: SparkSession, d: str) -> DataFrame:
+    m = F.col("messages")
+    return _messages(spark, d).select("log_id", answer.history_text(answer.sent_messages(m)).alias("first3"), answer.history_text(answer.sent_messages(m, mode="last")).alias("last3"))
+
+
+def prompt_text(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    p = answer.prompt_text(c("query"), c("message"), c("city"), c("ai_error"), F.lit(TODAY).cast("date"))
+    return _log(spark, d).select("log_id", p.alias("prompt"))
+
+
+def response_status(spark: SparkSession, d: str) -> DataFrame:
+    r = answer.response(F.size("retrieved_sources"), F.col("ai_response"), F.col("ai_error"), F.col("retrieved_sources"), F.col("city"), F.col("logged_at"))
+    return _log(spark, d).select("log_id", r.alias("r")).select("log_id", "r.status", "r.message", "r.ai_response", "r.ai_error", F.size("r.retrieved_sources").alias("n_sources"))
+
+
+def rag_end_to_end(spark: SparkSession, d: str) -> DataFrame:
+    """Documents cut, embedded, and every question of the evaluation set answered from them."""
+    chunks = _fixed(spark, d, 100)
+    chunks = spread(chunks).select((F.col("doc_id") * 100_000 + F.col("chunk_index")).alias("chunk_id"), F.col("doc_id").cast("string").alias("bylaw_id"), F.col("source").alias("bylaw_title"), F.lit(None).cast("string").alias("url"), "chunk_text")
+    corpus = embedding.reembed(chunks, "chunk_text", "v")
+    ask = load(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit("Harrowdale").alias("city"), F.lit(None).cast("array<struct<fromMe:boolean,text:string,timestamp:string>>").alias("conversation_context"), F.lit(TODAY).alias("timestamp"))
+    asked = embedding.reembed(ask, "query", "v")
+    ranked = search.top_k(corpus, asked, id_col="chunk_id", vec_col="v", query_id="query_id", query_vec="v", dim=384)
+    hits = ranked.join(chunks, ranked.id == chunks.chunk_id)
+    return answer.answer(ask, hits, F.lit(TODAY).cast("date")).select("query_id", answer.response_json(F.col("response")).alias("response"))
+
+
+def hash_embed(spark: SparkSession, d: str) -> DataFrame:
+    return embedding.reembed(spread(load(spark, d, "bylaw_chunks").select("chunk_id", "chunk_text")), "chunk_text", "embedding").select("chunk_id", F.size("embedding").alias("dim")).distinct()
+
+
+# --- log ------------------------------------------------------------------------------------------------------------
+
+
+def log_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The log appended as JSON lines and read back through the schema of both shapes."""
+    path = f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    log = _log(spark, d).withColumn("timestamp", F.col("logged_at"))
+    store.append_jsonl(log.select("status", "message", "ai_response", "ai_error", "retrieved_sources", "city", "timestamp", "query"), path)
+    return loaders.read_log(spark, path).select("timestamp", "city", "query", "status", "message", "ai_response", "ai_error", F.coalesce(F.size("retrieved_sources"), F.lit(0)).alias("n_sources"))
+
+
+def log_cooldown(spark: SparkSession, d: str) -> DataFrame:
+    log = _log(spark, d).select("log_id", "city", F.try_to_timestamp("logged_at").alias("at"))
+    return activity.repeats_within(log, ["city"], "at", 600).select("log_id")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return snapshots.snapshot_changes(load(spark, d, "bylaw_snapshots"))
 
 
-QUERIES: dict = {"p2_found": p2_found}
-SQL: dict = {
-    "p2_found": r"""
-WITH r AS (
-  SELECT snapshot_no, lower(trim(url)) u, try_cast(fetched_at AS timestamptz) t, nullif(lower(trim(content_sha256)), '') h FROM bylaw_snapshots
-), c AS (
-  SELECT snapshot_no, 'https://' || regexp_replace(regexp_replace(regexp_replace(regexp_replace(u, '[?#].*$', ''), '^(https?:)?//', ''), '^www\.', ''), '/+$', '') url, t, h FROM r
-), l AS (
-  SELECT snapshot_no, url, h FROM c QUALIFY row_number() OVER (PARTITION BY snapshot_no, url ORDER BY t DESC NULLS LAST, h DESC NULLS LAST) = 1
-), f AS (
-  SELECT snapshot_no, url, last_value(h IGNORE NULLS) OVER (PARTITION BY url ORDER BY snapshot_no ROWS UNBOUNDED PRECEDING) h FROM l
-)
-SELECT coalesce(n.snapshot_no, o.snapshot_no + 1)::INT AS snapshot_no, coalesce(n.url, o.url) AS url,
-       CASE WHEN o.url IS NULL THEN 'added' WHEN n.url IS NULL THEN 'removed' ELSE 'changed' END AS change
-FROM f n FULL JOIN f o ON n.url = o.url AND n.snapshot_no = o.snapshot_no + 1
-WHERE coalesce(n.snapshot_no, o.snapshot_no + 1) BETWEEN (SELECT min(snapshot_no) + 1 FROM f) AND (SELECT max(snapshot_no) FROM f)
-  AND (o.url IS NULL OR n.url IS NULL OR (o.h IS NOT NULL AND n.h <> o.h))""",
-}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        vector_topk, vector_topk_batch, vector_topk_by_collection, cosine_scores, city_routing, request_validation, request_decode, response_decode, city_requests, feedback,
+        input_caps, slug_filename, slug_id, bylaw_id, content_hash, nonblank_filter, whitespace_normalize, newline_collapse, paragraph_split, sentence_split, year_number,
+        lenient_dates, url_join, fixed_chunks, chunk_sequence, chunk_overlap, chunk_counts, packed_chunks, chapter_table, page_links, first_pdf, page_meta, html_text,
+        links_distinct, json_loader, exists_scan, ingest_counters, missing_embedding, chunk_upsert, snapshot_upsert, bulk_append, update_embedding, key_uniqueness,
+        slug_last_wins, change_detection, context_concat, source_list, sources_dedup_top5, history_text, history_first3, prompt_text, response_status, rag_end_to_end,
+        hash_embed, log_roundtrip, log_cooldown, p2_found,
+    )
+}
