@@ -172,7 +172,7 @@ def chunk_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def packed_chunks(spark: SparkSession, d: str) -> DataFrame:
     laws = store.latest_by(load(spark, d, "bylaws").filter("scrape_id is not null"), ["scrape_id"], [F.desc("fetched_at")])
-    chunks = chunking.explode_chunks(spread(laws.select("scrape_id", "text")), chunking.packed_chunks(F.col("text")), ["scrape_id"])
+    chunks = chunking.explode_chunks(laws.select("scrape_id", "text"), chunking.packed_chunks(F.col("text")), ["scrape_id"])
     return chunking.with_overlap(chunks, "scrape_id", 150)
 
 

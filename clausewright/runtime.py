@@ -40,7 +40,8 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """df in at least as many partitions as there are cores; inputs that have them stay as they are."""
+    """A scan in at least as many partitions as there are cores; one that has them stays as it is. Not for plans with
+    shuffles, which asking for their partitions would run."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
