@@ -40,7 +40,7 @@ def _usable(dim: int):
 
 def unit_vectors(rows: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
     """(id, vec) of the usable rows: dim finite numbers, not all zero; vec is a unit vector of float32."""
-    kept = rows.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).filter(F.col("id").isNotNull() & (F.size("vec") == dim))
+    kept = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).filter(F.col("id").isNotNull() & (F.size("vec") == dim))
     return spread(kept, "id").mapInArrow(_usable(dim), "id bigint, vec binary")
 
 
@@ -168,7 +168,7 @@ def similar_vectors(rows: DataFrame, id_col: str, vec_col: str, *, dim: int, k:
     out = "id bigint, other bigint, similarity float"
     if not len(pivots):
         return singles.mapInArrow(lambda batches: iter(()), out)
-    posts = spread(singles, "id").mapInArrow(_poster(pivots), "key int, perm binary, id bigint, vec binary")
+    posts = singles.mapInArrow(_poster(pivots), "key int, perm binary, id bigint, vec binary")
     files = posts.repartitionByRange("key", "perm", "id").sortWithinPartitions("key", "perm", "id")
     near = files.mapInArrow(_searcher(dim, k, min_similarity), out)
     near = _top(near.repartition("id").groupBy("id", "other").agg(F.max("similarity").alias("similarity")), k)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewright.runtime import materialize, spread
+from clausewright.runtime import materialize
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the public byte-level vocabulary cuts text before its merges.
@@ -123,10 +123,10 @@ def pack_documents(docs: DataFrame, *, doc: str, text: str, source: str, capacit
     out of one input, and of one source where that costs no room. Null and empty texts have 0 tokens and still
     get an input. Null ids are left out; an id delivered again counts once, with its smallest text.
     """
-    rows = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source")).filter("doc_id is not null")
+    rows = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source")).filter("doc_id is not null")
     rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", "source")).alias("s")).select("doc_id", "s.text", "s.source")
     rows = rows.withColumn("cluster", F.xxhash64("text"))
-    sized = materialize(count_tokens(spread(rows, "doc_id"), "text", vocabulary))
+    sized = materialize(count_tokens(rows, "text", vocabulary))
     tokens, n = sized.agg(F.sum("n_tokens"), F.count("*")).first()
     slots = max(1, (tokens or 0) // (capacity * inputs_per_task), n // 50_000)
     parts = sized.withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("n_tokens") - 1) / capacity).cast("int")))))

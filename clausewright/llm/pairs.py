@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewright.runtime import materialize, spread
+from clausewright.runtime import materialize
 
 # Texts that stand for no answer.
 PLACEHOLDERS = {
@@ -59,7 +59,7 @@ FILLERS = [
 ]
 _REFUSAL = re.compile("|".join(REFUSALS))
 _FILLER = re.compile("|".join(FILLERS))
-_TAG = re.compile(r"<[^<>]*>|&[a-z]+;|[​-‏﻿⁠]")
+_TAG = re.compile(r"<[^<>]*>|&[a-z]+;|[\u200b-\u200f\ufeff\u2060]")
 _URL = re.compile(r"https?://[\w.-]+\.\w+/\w[\w-]*/\w[\w-]*")
 _WORD = re.compile(r"[^\W\d_]+")
 _CLOSE = "\"'”’»*_`)] "
@@ -149,7 +149,7 @@ def tail_keys(response: str) -> list[str] | None:
     if not body:
         return None
     last = text.split("\n")[-1]
-    if re.search(r"[^\W\d_][-­¬]$", body) or body[-1] in ",;:(-–—" or last.count("(") > last.count(")") or last.count("“") > last.count("”"):
+    if re.search(r"[^\W\d_][-\u00ad¬]$", body) or body[-1] in ",;:(-–—" or last.count("(") > last.count(")") or last.count("“") > last.count("”"):
         return []
     if text[-1] in ")]" or body[-1] in "?!…":
         return None
@@ -211,8 +211,8 @@ def broken_pairs(log: DataFrame, *, id_col: str, query: str, response: str, stat
     ids are left out, an empty log has no defects. The contexts of all responses are counted in the cluster and
     joined to the open endings; nothing is collected.
     """
-    rows = log.select(F.col(id_col).alias("id"), F.col(query).alias("query"), F.col(response).alias("response"), F.col(status).alias("status")).filter("id is not null")
-    rows = spread(materialize(rows.groupBy("id").agg(F.min(F.struct("query", "response", "status")).alias("s")).select("id", "s.*")), "id")
+    rows = log.select(F.col(id_col).cast("bigint").alias("id"), F.col(query).alias("query"), F.col(response).alias("response"), F.col(status).alias("status")).filter("id is not null")
+    rows = materialize(rows.groupBy("id").agg(F.min(F.struct("query", "response", "status")).alias("s")).select("id", "s.*"))
     known = rows.mapInArrow(_count, "key string, ends bigint, goes_on bigint, open bigint").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("ends", "goes_on", "open")))
     due = rows.filter(F.length(F.trim(F.regexp_replace("query", r"\s+", " "))) > 0).filter("status is null or lower(trim(status)) = 'ok'")
     labelled = materialize(due.select("id", "query", "response").mapInArrow(_label, "id bigint, kind string, keys array<string>"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausewright.llm.pairs import language
-from clausewright.runtime import materialize, spread
+from clausewright.runtime import materialize
 
 WORD = re.compile(r"[a-z0-9]+")
 SENTENCE = re.compile(r"(?<=[.!?;])\s+|\n+")
@@ -103,9 +103,9 @@ def reading_levels(docs: DataFrame, labels: DataFrame, *, doc: str, text: str, l
     a null or an empty text gets the middle of the scale. Without labels every document does. Null ids are left
     out; an id delivered again counts once, with its smallest text.
     """
-    rows = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
-    read = materialize(spread(rows, "doc_id").mapInArrow(_read, "doc_id bigint, n_words int, english boolean, occ array<struct<s:int,w:bigint,n:int>>, lengths array<int>"))
-    anchors = labels.select(F.col(doc).alias("doc_id"), F.col(level).cast("double").alias("l")).filter("l between 1 and 5").groupBy("doc_id").agg(F.median("l").alias("anchor"))
+    rows = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
+    read = materialize(rows.mapInArrow(_read, "doc_id bigint, n_words int, english boolean, occ array<struct<s:int,w:bigint,n:int>>, lengths array<int>"))
+    anchors = labels.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(level).cast("double").alias("l")).filter("l between 1 and 5").groupBy("doc_id").agg(F.median("l").alias("anchor"))
     anchors = materialize(anchors)
     words = materialize(_difficulties(read.join(anchors.withColumnRenamed("anchor", "level"), "doc_id"), least))
     theta = materialize(_levels(read, words))

@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 #: Strongest first; a cut lies behind the match.
 BOUNDARIES = [re.compile(p) for p in (r"\n[ ]?\n\s*", r"\n", r"[.!?;:][\"')\]”’]*\s+", r"\s+")]
-_ENDS = r"[\s\x1c-\x1f\u0085   -     　]+"
+_ENDS = r"[\s\x0b\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
 def tidy(text: Column) -> Column:
     """One kind of line end, runs of spaces and tabs as one space, white space at both ends dropped."""
     t = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"[ \t]+", " ")
-    return F.regexp_replace(t, rf"^{_ENDS}|{_ENDS}$", "")
+    return F.regexp_replace(t, rf"^{_ENDS}|{_ENDS}\z", "")
 
 
 def cut_points(text: str, limit: int) -> list[int]:
