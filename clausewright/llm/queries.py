@@ -68,18 +68,18 @@ def p6_clean(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.remove_lines(chunks, "chunk_id", "chunk_text", found).select(F.col("doc").alias("chunk_id"), F.col("text").alias("chunk_text"))
 
 
-def _repaired(spark: SparkSession, d: str) -> DataFrame:
+def _repaired(spark: SparkSession, d: str, reflow: bool) -> DataFrame:
     titles = load(spark, d, "chapter_index").select("bylaw_id", F.col("title").alias("title2"))
-    return scans.repair_scans(text_items(spark, d), titles)
+    return scans.repair_scans(text_items(spark, d), titles, reflow)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return _repaired(spark, d).select("item_kind", "item_id", F.explode("noise").alias("noise"))
+    return _repaired(spark, d, False).select("item_kind", "item_id", F.explode("noise").alias("noise"))
 
 
 def p7_repaired(spark: SparkSession, d: str) -> DataFrame:
     """The repaired text of every item that held noise."""
-    return _repaired(spark, d).filter(F.size("noise") > 0).select("item_kind", "item_id", "text")
+    return _repaired(spark, d, True).filter(F.size("noise") > 0).select("item_kind", "item_id", "text")
 
 
 def p8_inputs(spark: SparkSession, d: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewright.runtime import materialize, spread
+from clausewright.runtime import materialize
 
 # What recognition reads, and what stood there.
 CONFUSIONS = [
@@ -29,7 +29,7 @@ CONFUSIONS = [
 ]
 #: Characters that no word holds: a word with one is hardly ever meant.
 STRANGE = re.compile(r"[0-9|!$(éè]")
-SIGNS = "-­¬‐‑"
+SIGNS = "-\u00ad\u00ac\u2010\u2011"
 ROMAN = "(?=[ivxlc])(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})"
 PAGE = re.compile(rf"(?:[-–—\[(|]*\s*)?(?:(?:page|p|pg|seite)\.?\s*)?(?:\d{{1,5}}|{ROMAN})(?:\s*(?:/|of)\s*\d{{1,5}})?(?:\s*[|]\s*page)?(?:\s*[-–—\])|]*)?", re.I)
 HEADER_WORDS = {"by", "law", "bylaw", "municipal", "code", "continued", "cont", "chapter", "page", "p", "no", "number", "of", "city", "town", "the"}
@@ -41,6 +41,7 @@ P_CONFUSION = 0.01
 P_STRANGE = 1e-4
 LEXICON_MIN = 3
 BLOCK_ROWS = 400_000
+_CORES: dict[str, str] = {}
 
 
 def core(token: str) -> str:
@@ -89,12 +90,17 @@ def is_header(line: str, titles: list[list[str]], number: str | None, city: list
 
 def strip_marks(text: str, titles: list[list[str]], number: str | None, city: list[str]) -> tuple[str, set[str]]:
     """The text without page marks and running headers, and which there were. The first line with content is no header."""
+    if "\n" not in text and len(text) > 24:
+        return text, set()
     found, kept, begun = set(), [], False
+    # a header misses at most a fifth of a title's words, so it holds one of its two longest
+    marks = {w for t in titles for w in sorted(t, key=len)[-2:]} | ({number.lower()} if number else set())
     for line in text.split("\n"):
-        if is_page_mark(line):
+        if len(line) < 40 and is_page_mark(line):
             found.add("page_number")
             continue
-        if begun and is_header(line, titles, number, city):
+        low = line.lower()
+        if begun and any(m in low for m in marks) and is_header(line, titles, number, city):
             found.add("running_header")
             continue
         begun = begun or bool(line.strip())
@@ -102,9 +108,19 @@ def strip_marks(text: str, titles: list[list[str]], number: str | None, city: li
     return "\n".join(kept), found
 
 
+def _core_of(token: str) -> str:
+    """core, remembered; the memory is emptied now and then, so that it stays small whatever the texts hold."""
+    found = _CORES.get(token)
+    if found is None:
+        if len(_CORES) > 200_000:
+            _CORES.clear()
+        found = _CORES[token] = core(token)
+    return found
+
+
 def words_of(text: str) -> list[str]:
     """Cores of the tokens, without the parts of words split over line ends."""
-    return [c for c in map(core, TOKEN.findall(BREAK.sub(" ", text))) if c]
+    return [c for c in map(_core_of, BREAK.sub(" ", text).split()) if c]
 
 
 def readings(word: str, most: int = 3) -> dict[str, float]:
@@ -140,7 +156,7 @@ def _titles(*titles: str | None) -> list[list[str]]:
     return [w for w in {tuple(WORD.findall((t or "").lower())): 1 for t in titles} if w]
 
 
-def _rows(batch: pa.RecordBatch):
+def _titled(batch: pa.RecordBatch):
     cols = [batch.column(c).to_pylist() for c in ("text", "title", "title2", "number", "city")]
     for text, t1, t2, number, city in zip(*cols):
         yield text or "", _titles(t1, t2), (number or "").strip() or None, WORD.findall((city or "").lower())
@@ -149,18 +165,19 @@ def _rows(batch: pa.RecordBatch):
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts of words ('', word) and split words (left, right)."""
     words: Counter = Counter()
+    splits: Counter = Counter()
 
     def flush() -> pa.RecordBatch:
-        rows = list(words.items())
+        rows = [(("", w), n) for w, n in words.items()] + list(splits.items())
         words.clear()
+        splits.clear()
         return pa.record_batch([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["l", "r", "n"])
 
     for b in batches:
-        for text, titles, number, city in _rows(b):
-            text, _ = strip_marks(text, titles, number, city)
-            words.update(("", w) for w in words_of(text))
-            words.update((core(m[1]), core(m[2])) for m in BREAK.finditer(text))
-            if len(words) > 200_000:
+        for text in b.column("text").to_pylist():
+            words.update(words_of(text))
+            splits.update((core(m[1]), core(m[2])) for m in BREAK.finditer(text))
+            if len(words) + len(splits) > 200_000:
                 yield flush()
     yield flush()
 
@@ -227,7 +244,7 @@ class Decoder:
         return math.log((self.pairs.get((left, right), 0) + 0.5) / (self.total.get(left, 0) + 5)) if self.pairs else 0.0
 
     def line(self, line: str) -> tuple[str, bool]:
-        spans = [(m.start(), m.end(), core(m[0])) for m in TOKEN.finditer(line)]
+        spans = [(m.start(), m.end(), _core_of(m[0])) for m in TOKEN.finditer(line)]
         if not any(w in self.fixes for _, _, w in spans):
             return line, False
         states = {"": (0.0, [])}
@@ -262,7 +279,7 @@ def _emit(b: pa.RecordBatch, done: list[tuple[str, set[str]]]) -> pa.RecordBatch
 
 def _unmark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield _emit(b, [strip_marks(*row) for row in _rows(b)])
+        yield _emit(b, [strip_marks(*row) for row in _titled(b)])
 
 
 def _each(change: Callable[[str], tuple[str, set[str]]]):
@@ -293,7 +310,11 @@ def _joiner(joins: set[tuple[str, str]]):
 
 
 def _fixer(decoder: Decoder):
+    known = decoder.fixes.keys()
+
     def change(text: str) -> tuple[str, set[str]]:
+        if known.isdisjoint(map(_core_of, text.split())):
+            return text, set()
         done = [decoder.line(x) for x in text.split("\n")]
         return "\n".join(x for x, _ in done), {"misread"} if any(f for _, f in done) else set()
 
@@ -304,24 +325,25 @@ def _flow(text: str) -> tuple[str, set[str]]:
     """Lines run on into paragraphs; a blank line, a list mark or a short line before a capital begins a new one."""
     lines = text.split("\n")
     width = max(map(len, lines), default=0)
-    out = ""
-    for i, x in enumerate(lines):
-        x = x.strip()
-        if not i:
-            out = x
-        elif not x:
-            out = out.rstrip() + "\n\n"
-        elif not out or out.endswith("\n"):
-            out += x
-        elif re.match(r"(?:[-*•|]|\(\w{1,4}\)|\d+[.)])\s", x) or "\t" in x or (len(lines[i - 1]) < 0.6 * width and x[:1].isupper()):
-            out += "\n" + x
-        else:
-            out += (" " if out[-1] not in "-" else "") + x
-    return out, set()
-
-
-def repair_scans(items: DataFrame, titles: DataFrame | None = None) -> DataFrame:
-    """(item_kind, item_id, text, noise): every item's repaired text and the sorted kinds of noise it held.
+    out: list[str] = []  # pieces; a paragraph's end is a piece of line ends
+    for i, raw in enumerate(lines):
+        x = raw.strip()
+        if not x:
+            if out and out[-1] != "\n\n":
+                out.append("\n\n")
+            continue
+        if out and out[-1] != "\n\n":
+            if re.match(r"(?:[-*•|]|\(\w{1,4}\)|\d+[.)])\s", x) or "\t" in x or (len(lines[i - 1]) < 0.6 * width and x[:1].isupper()):
+                out.append("\n")
+            elif out[-1][-1] != "-":
+                out.append(" ")
+        out.append(x)
+    return "".join(out).rstrip("\n"), set()
+
+
+def repair_scans(items: DataFrame, titles: DataFrame | None = None, reflow: bool = True) -> DataFrame:
+    """(item_kind, item_id, text, noise): every item's repaired text and the sorted kinds of noise it held. Without reflow
+    the repaired text keeps its lines.
 
     items: item_kind, item_id, text, title, number, city, bylaw_id. titles(bylaw_id, title2), if given, supplies
     titles that an item lacks. Null texts count as empty; rows with a null id are left out; a repeated item is
@@ -329,15 +351,14 @@ def repair_scans(items: DataFrame, titles: DataFrame | None = None) -> DataFrame
     pass each, so that no larger dictionary is shipped; different blocks hold different words.
     """
     rows = items.filter("item_id is not null").groupBy("item_kind", "item_id").agg(F.min(F.struct("text", "title", "number", "city", "bylaw_id")).alias("s"))
-    rows = rows.select("item_kind", "item_id", "s.*")
+    rows = rows.select("item_kind", F.col("item_id").cast("bigint").alias("item_id"), "s.*")
     if titles is not None:
         rows = rows.join(titles.groupBy("bylaw_id").agg(F.min("title2").alias("title2")), "bylaw_id", "left")
     else:
         rows = rows.withColumn("title2", F.lit(None).cast("string"))
-    rows = materialize(rows.select("item_kind", "item_id", "text", "title", "title2", "number", "city"))
-    rows = spread(rows, "item_id")
-    fixes, joins = channel_model(rows)
-    clean = rows.mapInArrow(_unmark, OUT)
+    rows = rows.select("item_kind", "item_id", "text", "title", "title2", "number", "city")
+    rows = clean = materialize(rows.mapInArrow(_unmark, OUT))
+    fixes, joins = channel_model(rows.select("text"))
     for part in _blocks(joins, "l"):
         clean = clean.mapInArrow(_each(_joiner({tuple(r) for r in part.collect()})), OUT)
     for part in _blocks(fixes, "word"):
@@ -348,14 +369,14 @@ def repair_scans(items: DataFrame, titles: DataFrame | None = None) -> DataFrame
         focus = doubtful.union(c for w in doubtful for c, _ in table[w])
         pairs = {}
         if focus:
-            seen = rows.mapInArrow(_contexts(focus), "l string, r string, n bigint").groupBy("l", "r").agg(F.sum("n").alias("n")).filter("n > 1")
+            seen = rows.select("text").mapInArrow(_contexts(focus), "l string, r string, n bigint").groupBy("l", "r").agg(F.sum("n").alias("n")).filter("n > 1")
             pairs = {(r.l, r.r): r.n for r in seen.toLocalIterator()}
         # words whose reading is clear by channel and unigram keep it; the contexts decide the doubtful ones
         clear = {w: [max(c, key=lambda x: x[1])] for w, c in table.items() if w not in doubtful}
         clean = clean.mapInArrow(_each(_fixer(Decoder(clear, {}))), OUT)
         if doubtful:
             clean = clean.mapInArrow(_each(_fixer(Decoder({w: table[w] for w in doubtful}, pairs))), OUT)
-    return clean.mapInArrow(_each(_flow), OUT)
+    return clean.mapInArrow(_each(_flow), OUT) if reflow else clean
 
 
 def _blocks(table: DataFrame, key: str) -> list[DataFrame]:
