@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausewright.operators.graph import connected_components
-from clausewright.runtime import materialize, spread
+from clausewright.runtime import materialize
 
 WORD = re.compile(r"[a-z0-9]+")
 SEGMENTS = 64
@@ -135,20 +135,21 @@ def _verifier(n: int, threshold: float):
 
 
 def near_copies(
-    docs: DataFrame, id_col: str, text_col: str, *, threshold: float = 0.8, ngram: int = 5, min_words: int = 20, bands: int = 32, rows: int = 4
+    docs: DataFrame, id_col: str, text_col: str, *, threshold: float = 0.8, ngram: int = 5, min_words: int = 20, bands: int = 48, rows: int = 4
 ) -> tuple[DataFrame, DataFrame]:
     """(links, members) over the distinct texts of docs.
 
     links(a, b, similarity): every pair of representatives, a < b, whose sets of word n-grams have a Jaccard
     similarity of at least threshold. members(id, rep): every id with at least min_words words and the smallest id
-    that holds the very same text. Null ids and texts, and texts with fewer words, take part in neither. An id
+    that holds the very same text. With 48 bands of 4 rows a pair at similarity 0.6 is missed with probability 0.0013, at
+    0.65 with 0.0001. Null ids and texts, and texts with fewer words, take part in neither. An id
     delivered again counts once; under one id with several texts each text counts. Extra columns are not looked at.
     """
-    rows_ = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
+    rows_ = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
     rows_ = rows_.withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit(7), "text"))
     texts = rows_.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("text").alias("text"))
     signed = materialize(
-        spread(texts.select("id", "text"), "id").mapInArrow(_signer(ngram, min_words, bands, rows), "id bigint, n int, pops binary, bands array<bigint>, text string")
+        texts.select("id", "text").mapInArrow(_signer(ngram, min_words, bands, rows), "id bigint, n int, pops binary, bands array<bigint>, text string")
     )
     # Grid over the fingerprints' total bit counts: a cell spans three times the largest ratio of similar sizes, so a
     # row is posted to its own cell and, from the top third, to the next one.
