@@ -35,26 +35,30 @@ def features(sentence: list[str]) -> list[str]:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("s", pa.int32()), ("w", pa.int64()), ("n", pa.int32())]))
     for whole in batches:
         for at in range(0, whole.num_rows, 500):
             b = whole.slice(at, 500)
-            size, english, occ, lengths = [], [], [], []
+            size, english = [], []
+            sent, word, count, ends, lens, stops = [], [], [], [0], [], [0]
             for text in b.column("text").to_pylist():
                 text = text or ""
                 size.append(len(WORD.findall(text.lower())))
                 english.append(language(text)[0] == "en")
-                rows, lens = [], []
+                k = 0
                 for sentence in SENTENCE.split(text):
                     words = WORD.findall(sentence.lower())
                     if words:
                         for w, n in Counter(features(words)).items():
-                            rows.append({"s": len(lens), "w": xxhash.xxh64_intdigest(w) - (1 << 63), "n": n})
+                            sent.append(k)
+                            word.append(xxhash.xxh64_intdigest(w) - (1 << 63))
+                            count.append(n)
                         lens.append(len(words))
-                occ.append(rows)
-                lengths.append(lens)
+                        k += 1
+                ends.append(len(sent))
+                stops.append(len(lens))
+            occ = pa.StructArray.from_arrays([pa.array(sent, pa.int32()), pa.array(word, pa.int64()), pa.array(count, pa.int32())], names=["s", "w", "n"])
             yield pa.record_batch(
-                [b.column("doc_id"), pa.array(size, pa.int32()), pa.array(english), pa.array(occ, kind), pa.array(lengths, pa.list_(pa.int32()))],
+                [b.column("doc_id"), pa.array(size, pa.int32()), pa.array(english), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), occ), pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(lens, pa.int32()))],
                 names=["doc_id", "n_words", "english", "occ", "lengths"],
             )
 
