@@ -29,7 +29,7 @@ LABELS = set("you asked your question query q a answer prompt user input request
 LANGUAGES = {
     "en": "the a an and of to is are in for on with that this it you your can not may must shall be by at or from how what where who do does i my was has have long tall close need permit near any will there if under which section per year please no yes",
     "fr": "le la les un une des du de et est sont dans pour sur avec que qui ce cette il vous votre peut pas doit être par au aux ou quelle quel combien faut puis je près sans plus avant toute ne se coûte permis l d qu s n jours soit sera lieu a été",
-    "es": "el la los las un una de del y es son en para por con que este esta usted su puede no debe ser al o cuánto cuesta qué cuál se sin más antes cerca permiso quien según hay lo está tiene mi días sea estar entregar",
+    "es": "el la los las un una de del y es son en para por con que este esta usted su puede no debe ser al o cuánto cuesta qué cuál se sin más antes cerca permiso quien según hay lo está tiene mi días sea estar entregar más norma cada según otra vez",
     "de": "der die das ein eine einen einem einer und ist sind in im für auf mit dass dieser diese es sie ihr kann nicht muss werden wird von zu zur zum bei oder den dem des sich vor ohne nach über innerhalb wie darf wer beim an ab",
     "pt": "o a os as um uma de do da dos das e é são em no na para por com que este esta você seu pode não deve ser ao ou quanto qual se sem mais antes perto quem conforme uma foi será até",
     "it": "il lo la gli le un uno una di del della dei delle e è sono in nel nella per con che questo questa può non deve essere al alla o quanto quale si senza più prima vicino chi secondo giorni sarà da ogni",
@@ -112,7 +112,7 @@ def speaks_otherwise(query: str, response: str) -> bool:
     letters = [c for c in response if c.isalpha()]
     if len(letters) > 10 and sum(c > "ɏ" for c in letters) > len(letters) / 2:
         return True
-    return bool(lang) and lang != mine and r[lang] >= 2 and r[lang] >= 1.5 * r[mine] + 1 and q[lang] < q[mine]
+    return bool(lang) and lang != mine and r[lang] >= r[mine] + 2 and q[lang] < q[mine]
 
 
 def is_refusal(response: str) -> bool:
