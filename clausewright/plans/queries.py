@@ -11,7 +11,7 @@ from clausewright.functions import text as T
 from clausewright.operators import activity, answer, chunking, embedding, html, search, snapshots
 from clausewright.plans.sql import SQL  # noqa: F401
 from clausewright.runtime import load, shared_dir, spread
-from clausewright.sources import loaders, store
+from clausewright.sources import loaders, store, unify
 
 BASE = "https://bylaws.example"
 TODAY = "2024-06-01"
@@ -258,6 +258,22 @@ def chunk_upsert(spark: SparkSession, d: str) -> DataFrame:
     return store.upsert(c.limit(0), c, order=latest)
 
 
+def unified_chunks(spark: SparkSession, d: str) -> DataFrame:
+    c = unify.unify(load(spark, d, "bylaw_chunks"), "bylaw_chunks")
+    return c.select("collection", "bylaw_id", "title", "url", "chunk_index", F.size("embedding").alias("dim")).distinct()
+
+
+def legacy_chunks(spark: SparkSession, d: str) -> DataFrame:
+    c = unify.legacy(unify.unify(load(spark, d, "bylaw_chunks"), "bylaw_chunks"))
+    back = unify.unify(c, "bylaw_chunks")
+    return back.select("bylaw_id", "title", "url", "chunk_index", F.md5("chunk_text").alias("text_md5")).distinct()
+
+
+def sample_head(spark: SparkSession, d: str) -> DataFrame:
+    """The first three chapters of the index."""
+    return load(spark, d, "chapter_index").select("bylaw_id", "pos").orderBy("pos", "bylaw_id").limit(3)
+
+
 def snapshot_upsert(spark: SparkSession, d: str) -> DataFrame:
     """The last snapshot upserted into the ones before it, by url and content."""
     s = load(spark, d, "bylaw_snapshots").select("url", "content_sha256", "snapshot_no")
@@ -376,7 +392,7 @@ QUERIES = {
         vector_topk, vector_topk_batch, vector_topk_by_collection, cosine_scores, city_routing, request_validation, request_decode, response_decode, city_requests, feedback,
         input_caps, slug_filename, slug_id, bylaw_id, content_hash, nonblank_filter, whitespace_normalize, newline_collapse, paragraph_split, sentence_split, year_number,
         lenient_dates, url_join, fixed_chunks, chunk_sequence, chunk_overlap, chunk_counts, packed_chunks, chapter_table, page_links, first_pdf, page_meta, html_text,
-        links_distinct, json_loader, exists_scan, ingest_counters, missing_embedding, chunk_upsert, snapshot_upsert, bulk_append, update_embedding, key_uniqueness,
+        links_distinct, json_loader, exists_scan, ingest_counters, missing_embedding, unified_chunks, legacy_chunks, sample_head, chunk_upsert, snapshot_upsert, bulk_append, update_embedding, key_uniqueness,
         slug_last_wins, change_detection, context_concat, source_list, sources_dedup_top5, history_text, history_first3, prompt_text, response_status, rag_end_to_end,
         hash_embed, log_roundtrip, log_cooldown, p2_found,
     )

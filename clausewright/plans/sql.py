@@ -130,6 +130,9 @@ SELECT DISTINCT scrape_id, 'By-lawpage' AS h1, nullif(trim(regexp_extract(bylaw_
     "exists_scan": "SELECT count(*) AS n FROM bylaw_chunks WHERE chunk_text IS NOT NULL",
     "ingest_counters": "SELECT lower(trim(city)) AS place, count(*) AS n_rows, count(DISTINCT bylaw_id) AS n_bylaws, count(DISTINCT chunk_id) AS n_chunks FROM bylaw_chunks GROUP BY 1",
     "missing_embedding": "SELECT DISTINCT chunk_id FROM bylaw_chunks WHERE chunk_embedding IS NULL",
+    "unified_chunks": "SELECT DISTINCT 'bylaw_chunks' AS collection, bylaw_id, bylaw_title AS title, url, chunk_index, len(chunk_embedding)::INT AS dim FROM bylaw_chunks",
+    "legacy_chunks": "SELECT DISTINCT bylaw_id, bylaw_title AS title, url, chunk_index, md5(chunk_text) AS text_md5 FROM bylaw_chunks",
+    "sample_head": "SELECT bylaw_id, pos FROM chapter_index ORDER BY pos, bylaw_id LIMIT 3",
     "chunk_upsert": """
 SELECT chunk_id, bylaw_id, chunk_index, content_sha256, ingested_at FROM bylaw_chunks
 QUALIFY row_number() OVER (PARTITION BY bylaw_id, chunk_index, content_sha256 ORDER BY try_cast(ingested_at AS timestamptz) DESC NULLS LAST, ingested_at DESC NULLS LAST, chunk_id) = 1""",
