@@ -150,3 +150,14 @@ def test_ordinals_persist(spark):
     second = snapshots.assign_ordinals(keys, "url", first)
     a, b = dict(rows(first, "url", "ordinal")), dict(rows(second, "url", "ordinal"))
     assert len(b) == len(set(b.values())) == 100 and all(b[k] == v for k, v in a.items())
+
+
+def test_unify(spark):
+    from clausewright.sources.unify import legacy, unify, vector_column
+
+    old = spark.createDataFrame([("Chapter 1", "T", "p.pdf", 1, "x", [1.0])], "original_bylaw_id string, title string, pdf_url string, chunk_sequence int, chunk_text string, chunk_embedding_cpu array<float>")
+    new = spark.createDataFrame([("c::1", "T", "u", 0, "x", [2.0])], "bylaw_id string, bylaw_title string, url string, chunk_index int, chunk_text string, chunk_embedding array<float>")
+    both = unify(old, "bylaw_chunks").unionByName(unify(new, "other"))
+    assert rows(both, "bylaw_id", "title", "url", "chunk_index", "embedding") == [("Chapter 1", "T", "p.pdf", 0, [1.0]), ("c::1", "T", "u", 0, [2.0])]
+    assert rows(legacy(both), "original_bylaw_id", "chunk_sequence") == [("Chapter 1", 1), ("c::1", 1)]
+    assert vector_column("bylaw_chunks") != vector_column("other")
