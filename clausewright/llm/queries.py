@@ -140,6 +140,16 @@ hot AS (SELECT city, k FROM n JOIN a USING (city) WHERE c >= 5 AND c >= 0.04 * m
 """
 
 SQL: dict[str, str] = {
+    "p1_found": r"""
+WITH t AS (SELECT DISTINCT chunk_id, chunk_text, regexp_extract_all(lower(chunk_text), '[a-z0-9]+') w FROM bylaw_chunks WHERE chunk_id IS NOT NULL AND chunk_text IS NOT NULL),
+r AS (SELECT chunk_text, w, min(chunk_id) rep FROM t WHERE len(w) >= 20 GROUP BY ALL),
+m AS (SELECT t.chunk_id, rep FROM t JOIN r USING (chunk_text) WHERE t.chunk_id <> rep),
+s AS (SELECT DISTINCT rep, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] g FROM r, range(1, len(w) - 1) x(i)),
+n AS (SELECT rep, count(*) n FROM s GROUP BY rep),
+c AS (SELECT a.rep a, b.rep b, count(*) k FROM s a JOIN s b ON a.g = b.g AND a.rep < b.rep GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.rep = a JOIN n y ON y.rep = b WHERE k >= 0.6 * (x.n + y.n - k) - 1e-9),
+p AS (SELECT a, b FROM l UNION SELECT m.chunk_id, b FROM l JOIN m ON m.rep = a UNION SELECT a, m.chunk_id FROM l JOIN m ON m.rep = b UNION SELECT rep, chunk_id FROM m)
+SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM p WHERE a <> b""",
     "p3_found": r"""
 WITH i AS (SELECT 'bylaw' item_kind, scrape_id item_id, text t FROM bylaws UNION ALL SELECT 'chunk', chunk_id, chunk_text FROM bylaw_chunks)
 SELECT DISTINCT item_kind, item_id FROM i
