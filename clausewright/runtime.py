@@ -27,6 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def _delete_at_end(spark: SparkSession, path: str) -> None:
+    """The folder goes when the application ends; without a JVM at hand it stays."""
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    except Exception:
+        pass
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """df written once to the shared folder and read back.
 
@@ -36,6 +45,7 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -161,3 +161,22 @@ def test_unify(spark):
     assert rows(both, "bylaw_id", "title", "url", "chunk_index", "embedding") == [("Chapter 1", "T", "p.pdf", 0, [1.0]), ("c::1", "T", "u", 0, [2.0])]
     assert rows(legacy(both), "original_bylaw_id", "chunk_sequence") == [("Chapter 1", 1), ("c::1", 1)]
     assert vector_column("bylaw_chunks") != vector_column("other")
+
+
+def test_stream_counts(spark, tmp_path):
+    from clausewright.streaming.log import log_stream, status_counts
+
+    src = str(tmp_path / "src")
+    lines = [("2024-01-01T10:05:00", "A", None), ("2024-01-01T10:50:00", "A", "ok"), ("2024-01-01T11:10:00", "A", "degraded"), ("bad", "A", "ok")]
+    spark.createDataFrame(lines, "timestamp string, city string, status string").write.json(src)
+    q = status_counts(log_stream(spark, src)).writeStream.format("memory").queryName("counts").outputMode("update").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {(r.hour, r.status): r.n for r in spark.sql("select hour(w.start) as hour, status, max(n) as n from counts group by all").collect()}
+    assert got[10, "ok"] == 2 and got[11, "degraded"] == 1
+
+
+def test_materialized_tables_are_read_back(spark):
+    from clausewright.runtime import materialize
+
+    df = materialize(spark.range(5).withColumn("x", F.array(F.col("id"))))
+    assert rows(df, "id") == [(i,) for i in range(5)] and "MapInArrow" not in df._jdf.queryExecution().toString()
