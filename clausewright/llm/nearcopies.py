@@ -135,14 +135,14 @@ def _verifier(n: int, threshold: float):
 
 
 def near_copies(
-    docs: DataFrame, id_col: str, text_col: str, *, threshold: float = 0.8, ngram: int = 5, min_words: int = 20, bands: int = 48, rows: int = 4
+    docs: DataFrame, id_col: str, text_col: str, *, threshold: float = 0.8, ngram: int = 5, min_words: int = 20, bands: int = 64, rows: int = 5
 ) -> tuple[DataFrame, DataFrame]:
     """(links, members) over the distinct texts of docs.
 
     links(a, b, similarity): every pair of representatives, a < b, whose sets of word n-grams have a Jaccard
     similarity of at least threshold. members(id, rep): every id with at least min_words words and the smallest id
-    that holds the very same text. With 48 bands of 4 rows a pair at similarity 0.6 is missed with probability 0.0013, at
-    0.65 with 0.0001. Null ids and texts, and texts with fewer words, take part in neither. An id
+    that holds the very same text. With 64 bands of 5 rows a pair at similarity 0.6 is missed with probability 0.0056, at
+    0.65 with 0.0004. Null ids and texts, and texts with fewer words, take part in neither. An id
     delivered again counts once; under one id with several texts each text counts. Extra columns are not looked at.
     """
     rows_ = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
