@@ -339,3 +339,23 @@ def test_nothing_else_imports_this_subpackage():
     for f in (root / "clausewright").rglob("*.py"):
         if "llm" not in f.relative_to(root / "clausewright").parts:
             assert not re.search(r"clausewright\.llm|from \.+llm", f.read_text(encoding="utf-8")), f
+
+
+def test_footrule_is_the_distance_of_truncated_orders():
+    rng = np.random.default_rng(8)
+    perm = np.array([rng.permutation(12)[:5] for _ in range(30)])
+    d = neighbours._footrule(perm)
+
+    def brute(a, b):
+        place = lambda x, p: int(np.flatnonzero(x == p)[0]) if p in x else 5
+        return sum(abs(place(a, p) - place(b, p)) for p in set(a) | set(b))
+
+    want = np.array([[brute(a, b) for b in perm] for a in perm])
+    assert len(np.unique(d - want)) == 1
+
+
+def test_levels_have_increasing_bounds():
+    theta = np.array([1.0, 1.1, 2.0, 2.2, 3.0, 4.1, 4.2, 4.9, 5.0])
+    cuts = reading._cuts(theta, np.array([1, 1, 2, 2, 3, 4, 4, 5, 5.0]))
+    assert cuts == sorted(cuts) and [sum(t > c for c in cuts) + 1 for t in theta] == [1, 1, 2, 2, 3, 4, 4, 5, 5]
+    assert reading._cuts(np.zeros(0), np.zeros(0)) == [1.5, 2.5, 3.5, 4.5]
