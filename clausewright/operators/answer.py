@@ -63,6 +63,11 @@ def speaker_line(from_me: Column, text: Column) -> Column:
     return F.concat(F.when(F.coalesce(from_me, F.lit(False)), F.lit("User")).otherwise(F.lit("AI")), F.lit(": "), F.coalesce(text, F.lit("None")))
 
 
+def finished(messages: Column) -> Column:
+    """The messages that are not still loading."""
+    return F.filter(messages, lambda m: ~F.coalesce(m["isLoading"], F.lit(False)))
+
+
 def sent_messages(messages: Column, n: int = 3, mode: str = "first") -> Column:
     """The messages that go along: the first n, or the last n."""
     if mode not in ("first", "last"):

@@ -32,6 +32,11 @@ def test_history(spark):
     assert got[1].h == "" and got[2].h == ""
 
 
+def test_loading_messages_stay_out(spark):
+    df = spark.createDataFrame([([(True, "a", None), (False, "b", True), (False, "c", False)],)], "m array<struct<fromMe:boolean,text:string,isLoading:boolean>>")
+    assert [x.text for x in df.select(answer.finished(F.col("m")).alias("m")).first().m] == ["a", "c"]
+
+
 def test_answers(spark):
     req = spark.createDataFrame([(1, "q1", "A", None, "t"), (2, "q2", "A", [(True, "x", None)], "t"), (3, "boom", "A", None, "t")], "query_id long, query string, city string, conversation_context array<struct<fromMe:boolean,text:string,timestamp:string>>, timestamp string")
     hits = spark.createDataFrame([(2, 2, "second", "T2", "b2", "u"), (2, 1, "first", "T1", "b1", "u"), (3, 1, "x", "T", "b", "u"), (2, 3, "", "T3", "b3", "u")], "query_id long, rank int, chunk_text string, bylaw_title string, bylaw_id string, url string")
