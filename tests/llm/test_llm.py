@@ -359,3 +359,12 @@ def test_levels_have_increasing_bounds():
     cuts = reading._cuts(theta, np.array([1, 1, 2, 2, 3, 4, 4, 5, 5.0]))
     assert cuts == sorted(cuts) and [sum(t > c for c in cuts) + 1 for t in theta] == [1, 1, 2, 2, 3, 4, 4, 5, 5]
     assert reading._cuts(np.zeros(0), np.zeros(0)) == [1.5, 2.5, 3.5, 4.5]
+
+
+def test_blocks_of_the_models_change_nothing(spark, data, monkeypatch):
+    levels = lambda: {(r.doc_id, round(r.theta, 9), r.reading_level) for r in queries._levels(spark, data).collect()}
+    noise = lambda: set(map(str, queries.p7_found(spark, data).collect()))
+    one = levels(), noise()
+    monkeypatch.setattr(reading, "BLOCK_WORDS", 500)
+    monkeypatch.setattr(scans, "BLOCK_ROWS", 150)
+    assert (levels(), noise()) == one and len(one[0]) > 50 and one[1]
