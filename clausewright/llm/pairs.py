@@ -38,6 +38,7 @@ LANGUAGES = {
     "sv": "och i att det som en ett på är av för med till den inte om har kan ska eller innan utan måste får från vid",
 }
 LANGUAGES = {k: frozenset(v.split()) for k, v in LANGUAGES.items()}
+_SPOKEN = {w: [k for k, v in LANGUAGES.items() if w in v] for w in set().union(*LANGUAGES.values())}
 # Ways of declining, in the languages of the queries.
 REFUSALS = [
     r"\b(?:i|we)(?:['’]m| am| are|['’]re)?(?: (?:really|truly|very|so))? (?:afraid )?(?:sorry|regret|apologi[sz]e)?,? ?(?:but )?(?:i |we )?(?:can ?not|can['’]t|won['’]t|will not|am unable|am not (?:able|permitted|allowed|in a position|authori[sz]ed)|(?:must|have to) (?:decline|refuse)|decline|refuse)\b",
@@ -98,7 +99,10 @@ def is_copy(query: str, response: str) -> bool:
 def language(text: str) -> tuple[str, dict[str, int]]:
     """The language whose frequent words the text holds most of ('' if none stands out), and all counts."""
     words = _WORD.findall(text.lower().replace("’", "'"))
-    counts = {k: sum(w in v for w in words) for k, v in LANGUAGES.items()}
+    counts = dict.fromkeys(LANGUAGES, 0)
+    for w in words:
+        for k in _SPOKEN.get(w, ()):
+            counts[k] += 1
     best = sorted(counts, key=lambda k: (-counts[k], k))
     return (best[0] if counts[best[0]] > counts[best[1]] else ""), counts
 

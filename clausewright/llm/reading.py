@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausewright.llm.pairs import language
@@ -25,6 +25,8 @@ from clausewright.runtime import materialize
 WORD = re.compile(r"[a-z0-9]+")
 SENTENCE = re.compile(r"(?<=[.!?;])\s+|\n+")
 PRIOR_VAR, PRIOR_N, CENTRE = 0.4, 3.0, 3.0
+BLOCK_WORDS = 500_000
+OCC = "array<struct<s:int,w:bigint,n:int>>"
 
 
 def features(sentence: list[str]) -> list[str]:
@@ -73,16 +75,84 @@ def _difficulties(docs: DataFrame, least: int) -> DataFrame:
     return sums.select("w", b.alias("b"), F.greatest(F.lit(0.0), 1 / F.greatest(var, F.lit(0.02)) - 0.5).alias("p")).filter("p > 0")
 
 
+def _sums(batch: pa.RecordBatch, words: np.ndarray, b: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first sentence of each document, and the sentences' weighted sums x and weights y by these words (sorted by hash)."""
+    occ, lengths = batch.column("occ"), batch.column("lengths")
+    first = np.r_[0, np.cumsum(np.diff(lengths.offsets.to_numpy()))]
+    parts = occ.flatten()
+    w = parts.field(1).to_numpy(zero_copy_only=False)
+    i = np.minimum(np.searchsorted(words, w), len(words) - 1)
+    hit = np.flatnonzero(words[i] == w)
+    i = i[hit]
+    s = (parts.field(0).to_numpy(zero_copy_only=False) + np.repeat(first[:-1], np.diff(occ.offsets.to_numpy())))[hit]
+    y = parts.field(2).to_numpy(zero_copy_only=False)[hit] * p[i]
+    return first, np.bincount(s, y * b[i], first[-1]), np.bincount(s, y, first[-1])
+
+
+def _add(words: np.ndarray, b: np.ndarray, p: np.ndarray):
+    """Adds a block of words to the sentences' x and y."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                first, x, y = _sums(batch, words, b, p)
+                ends = pa.array(first.astype(np.int32))
+                x, y = x + batch.column("x").flatten().to_numpy(), y + batch.column("y").flatten().to_numpy()
+                yield pa.record_batch([batch.column("doc_id"), batch.column("occ"), batch.column("lengths"), pa.ListArray.from_arrays(ends, pa.array(x)), pa.ListArray.from_arrays(ends, pa.array(y))], names=["doc_id", "occ", "lengths", "x", "y"])
+
+    return run
+
+
+def _middle(words: np.ndarray, b: np.ndarray, p: np.ndarray):
+    """The last block of words, then the mean level of the sentences within the middle half of each document's words, by level."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                first, x, y = _sums(batch, words, b, p)
+                if "x" in batch.schema.names:
+                    x, y = x + batch.column("x").flatten().to_numpy(), y + batch.column("y").flatten().to_numpy()
+                ids = batch.column("doc_id").to_numpy()
+                doc = np.repeat(np.arange(len(ids)), np.diff(first))
+                size = batch.column("lengths").flatten().to_numpy()
+                doc, size, x, y = doc[y > 0], size[y > 0].astype(float), x[y > 0], y[y > 0]
+                level = x / y
+                order = np.lexsort((level, doc))
+                doc, size, level = doc[order], size[order], level[order]
+                total = np.bincount(doc, size, len(ids))
+                upto = np.cumsum(size) - np.r_[0, np.cumsum(total)][doc]
+                inside = np.maximum(0, np.minimum(upto, 0.75 * total[doc]) - np.maximum(upto - size, 0.25 * total[doc]))
+                weight = np.bincount(doc, inside, len(ids))
+                ok = weight > 0
+                yield pa.record_batch([pa.array(ids[ok]), pa.array(np.bincount(doc, inside * level, len(ids))[ok] / weight[ok])], names=["doc_id", "theta"])
+
+    return run
+
+
 def _levels(docs: DataFrame, words: DataFrame) -> DataFrame:
-    """(doc_id, theta): the level in the middle of each document's text by words; documents without known words are left out."""
-    occ = docs.select("doc_id", "lengths", F.explode("occ").alias("o")).select("doc_id", F.col("o.s").alias("s"), F.col("lengths")[F.col("o.s")].alias("size"), "o.w", "o.n")
-    sent = occ.join(words, "w").groupBy("doc_id", "s").agg(F.max("size").alias("size"), F.sum(F.col("n") * F.col("p") * F.col("b")).alias("x"), F.sum(F.col("n") * F.col("p")).alias("y"))
-    sent = sent.select("doc_id", "s", "size", (F.col("x") / F.col("y")).alias("level"))
-    w = Window.partitionBy("doc_id").orderBy("level", "s")
-    half = sent.withColumns({"upto": F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("size").over(Window.partitionBy("doc_id"))})
-    # mean of the sentences within the middle half of the words
-    inside = F.greatest(F.lit(0.0), F.least(F.col("upto"), 0.75 * F.col("all")) - F.greatest(F.col("upto") - F.col("size"), 0.25 * F.col("all")))
-    return half.groupBy("doc_id").agg((F.sum(inside * F.col("level")) / F.sum(inside)).alias("theta"))
+    """(doc_id, theta): the level in the middle of each document's text by words; documents without known words are left out.
+
+    The words go to the documents in blocks of about BLOCK_WORDS, so nothing is shuffled and no block grows with the data.
+    """
+    n = words.count()
+    blocks = n // BLOCK_WORDS + 1
+    scored = docs.select("doc_id", "occ", "lengths")
+    if not n:
+        return scored.filter("false").select("doc_id", F.lit(0.0).alias("theta"))
+    if blocks > 1:
+        zeros = F.transform("lengths", lambda _: F.lit(0.0))
+        scored = scored.withColumns({"x": zeros, "y": zeros})
+    for i in range(blocks):
+        t = words.filter(F.pmod("w", F.lit(blocks)) == i).toPandas().sort_values("w")
+        t = t if len(t) else words.limit(1).toPandas().assign(p=0.0)
+        block = t.w.to_numpy(), t.b.to_numpy(), t.p.to_numpy()
+        if i < blocks - 1:
+            scored = scored.mapInArrow(_add(*block), f"doc_id bigint, occ {OCC}, lengths array<int>, x array<double>, y array<double>")
+        else:
+            scored = scored.mapInArrow(_middle(*block), "doc_id bigint, theta double")
+    return scored
 
 
 def _cuts(theta: np.ndarray, level: np.ndarray) -> list[float]:
@@ -108,7 +178,7 @@ def reading_levels(docs: DataFrame, labels: DataFrame, *, doc: str, text: str, l
     out; an id delivered again counts once, with its smallest text.
     """
     rows = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
-    read = materialize(rows.mapInArrow(_read, "doc_id bigint, n_words int, english boolean, occ array<struct<s:int,w:bigint,n:int>>, lengths array<int>"))
+    read = materialize(rows.mapInArrow(_read, f"doc_id bigint, n_words int, english boolean, occ {OCC}, lengths array<int>"))
     anchors = labels.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(level).cast("double").alias("l")).filter("l between 1 and 5").groupBy("doc_id").agg(F.median("l").alias("anchor"))
     anchors = materialize(anchors)
     words = materialize(_difficulties(read.join(anchors.withColumnRenamed("anchor", "level"), "doc_id"), least))
