@@ -20,12 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausewright.llm.pairs import language
-from clausewright.runtime import materialize
+from clausewright.runtime import arrow_batches, materialize
 
 WORD = re.compile(r"[a-z0-9]+")
 SENTENCE = re.compile(r"(?<=[.!?;])\s+|\n+")
 PRIOR_VAR, PRIOR_N, CENTRE = 0.4, 3.0, 3.0
 BLOCK_WORDS = 500_000
+BATCH_DOCS = 1000
 OCC = "array<struct<s:int,w:bigint,n:int>>"
 
 
@@ -182,11 +183,13 @@ def reading_levels(docs: DataFrame, labels: DataFrame, *, doc: str, text: str, l
     anchors = labels.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(level).cast("double").alias("l")).filter("l between 1 and 5").groupBy("doc_id").agg(F.median("l").alias("anchor"))
     anchors = materialize(anchors)
     words = materialize(_difficulties(read.join(anchors.withColumnRenamed("anchor", "level"), "doc_id"), least))
-    theta = materialize(_levels(read, words))
+    with arrow_batches(docs.sparkSession, BATCH_DOCS):
+        theta = materialize(_levels(read, words))
     for _ in range(rounds - 1):
         at = theta.join(anchors, "doc_id", "left").select("doc_id", F.coalesce("anchor", "theta").alias("level"))
         words = materialize(_difficulties(read.filter("english").join(at, "doc_id"), least))
-        theta = materialize(_levels(read, words))
+        with arrow_batches(docs.sparkSession, BATCH_DOCS):
+            theta = materialize(_levels(read, words))
     known = theta.join(anchors, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels).select("theta", "anchor").toPandas()
     cuts = _cuts(known.theta.to_numpy(float), known.anchor.to_numpy(float))
     value = F.coalesce("theta", F.lit(CENTRE))
