@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clausewright.llm import boilerplate, leakage, nearcopies, neighbours, packing, pairs, reading, scans, splitting
 from clausewright.llm.items import text_items
-from clausewright.runtime import load
+from clausewright.runtime import load, spread
 
 
 def _copies(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -23,12 +23,12 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    pieces = splitting.split_oversized(text_items(spark, d), ["item_kind", "item_id"])
+    pieces = splitting.split_oversized(spread(text_items(spark, d), "item_id"), ["item_kind", "item_id"])
     return pieces.filter("chunk_index = 1").select("item_kind", "item_id").distinct()
 
 
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.split_oversized(text_items(spark, d), ["item_kind", "item_id"]).distinct()
+    return splitting.split_oversized(spread(text_items(spark, d), "item_id"), ["item_kind", "item_id"]).distinct()
 
 
 def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
@@ -47,7 +47,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _site_lines(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    chunks = load(spark, d, "bylaw_chunks")
+    chunks = spread(load(spark, d, "bylaw_chunks").select("chunk_id", "bylaw_id", "city", "chunk_text"), "chunk_id")
     return chunks, *boilerplate.site_lines(chunks, "chunk_id", "bylaw_id", "city", "chunk_text")
 
 
