@@ -1,8 +1,8 @@
 """The k most similar vectors of every vector (problem 4): a permutation index.
 
-A vector is represented by its nearest pivots in order. It is posted in the inverted files of the pairs among its
-first four pivots; within a file vectors are ranked by the footrule distance of their pivot orders, and the best
-are reranked by cosine.
+A vector is represented by its eight nearest pivots. It is in the inverted files of all pairs among them; the files of
+the pairs with the same smaller pivot travel together as a unit, so a vector is sent at most seven times. Within a file
+all vectors are compared by cosine: nothing that meets is lost to a rerank.
 """
 
 from __future__ import annotations
@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 from clausewright.runtime import materialize, spread
 
 PERM = 8
-#: Rows of an inverted file looked at together; longer files are walked in windows that overlap by half.
-WINDOW = 2048
-RERANK = 64
+#: Rows of a unit at most; a longer one is cut into blocks of half of it, each pair of blocks a unit of its own.
+UNIT = 65_536
+#: Similarities held at once.
+CELLS = 4_000_000
 
 
 def _usable(dim: int):
@@ -44,10 +45,22 @@ def unit_vectors(rows: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFr
     return spread(kept, "id").mapInArrow(_usable(dim), "id bigint, vec binary")
 
 
-def _poster(pivots: np.ndarray):
+def _poster(pivots: np.ndarray, blocks: dict[int, int] | None = None):
+    """Posts of each vector under its nearest pivots but the last in number. blocks: of the pivots whose unit is cut, into how
+    many; without it only the keys come, to be counted."""
     n = len(pivots)
     depth = min(PERM, n)
-    first = [(i, j) for j in range(1, min(4, n)) for i in range(j)] or [(0, 0)]
+
+    def units(pivot: int, ids: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+        """Keys of the units and the rows that go there."""
+        if (count := blocks.get(pivot, 1)) == 1:
+            yield pivot << 32, np.arange(len(ids))
+            return
+        mixed = ids.to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        own = ((mixed >> np.uint64(32)) % np.uint64(count)).astype(np.int64)
+        for i in range(count):
+            for j in range(i + 1, count):
+                yield pivot << 32 | i << 16 | j, np.flatnonzero((own == i) | (own == j))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -56,11 +69,19 @@ def _poster(pivots: np.ndarray):
                 v = np.frombuffer(b"".join(b.column("vec").to_pylist()), np.float32).reshape(b.num_rows, -1)
                 dots = v @ pivots.T
                 near = np.argpartition(-dots, depth - 1, axis=1)[:, :depth] if depth < n else np.tile(np.arange(n), (len(v), 1))
-                near = np.take_along_axis(near, np.argsort(-np.take_along_axis(dots, near, 1), axis=1, kind="stable"), 1)
+                near = np.sort(near, axis=1)
+                under = near[:, : max(1, depth - 1)]
+                if blocks is None:
+                    yield pa.record_batch([pa.array(under.ravel().astype(np.int32))], names=["pivot"])
+                    continue
                 perms = pa.array([r.tobytes() for r in near.astype(">u2")], pa.binary())
-                for i, j in first:
-                    key = np.minimum(near[:, i], near[:, j]) * n + np.maximum(near[:, i], near[:, j])
-                    yield pa.record_batch([pa.array(key.astype(np.int32)), perms, b.column("id"), b.column("vec")], names=["key", "perm", "id", "vec"])
+                rows, keys = np.repeat(np.arange(len(v)), under.shape[1]), under.ravel().astype(np.int64) << 32
+                if blocks:
+                    parts = [(k, of[x]) for p in np.unique(under) for of in [np.flatnonzero((under == p).any(axis=1))] for k, x in units(int(p), b.column("id").take(pa.array(of)))]
+                    rows, keys = np.concatenate([r for _, r in parts]), np.concatenate([np.full(len(r), k, np.int64) for k, r in parts])
+                for s in range(0, len(rows), 20_000):
+                    r = pa.array(rows[s : s + 20_000])
+                    yield pa.record_batch([pa.array(keys[s : s + 20_000]), perms.take(r), b.column("id").take(r), b.column("vec").take(r)], names=["key", "perm", "id", "vec"])
 
     return post
 
@@ -79,63 +100,76 @@ def _footrule(perm: np.ndarray) -> np.ndarray:
     return d
 
 
-def _best(ids: np.ndarray, v: np.ndarray, perm: np.ndarray, k: int, least: float):
-    n = len(ids)
-    if n <= RERANK + 1:
-        sims = v @ v.T
-        np.fill_diagonal(sims, -2)
-        cand = None
+def _top_of(v: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, other row, similarity): the k best others of each row, of those from least on."""
+    n, out = len(v), []
+    step = max(1, CELLS // n)
+    for at in range(0, n, step):
+        sims = v[at : at + step] @ v.T
+        rows = np.arange(len(sims))
+        sims[rows, rows + at] = -2
+        if n > k:
+            top = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+            sims = np.take_along_axis(sims, top, 1)
+        else:
+            top = np.broadcast_to(np.arange(n), sims.shape)
+        q, c = np.nonzero(sims >= max(least, -1.5))
+        out.append((q + at, top[q, c], sims[q, c]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _best(pivot: int, ids: np.ndarray, v: np.ndarray, perm: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, other, similarity) of a unit: the k best of each row over the files of the pairs of pivot with a larger one.
+    Where these files together ask for more comparisons than the unit has pairs, the unit is compared whole."""
+    rows, place = np.nonzero(perm > pivot)
+    order = np.argsort(perm[rows, place], kind="stable")
+    second, rows = perm[rows, place][order], rows[order]
+    cuts = np.flatnonzero(np.diff(second, prepend=-1, append=-1))
+    if not len(rows) or (np.diff(cuts).astype(float) ** 2).sum() >= float(len(ids)) ** 2:
+        q, c, sims = _top_of(v, k, least)
     else:
-        d = _footrule(perm)
-        np.fill_diagonal(d, np.iinfo(np.int16).max)
-        cand = np.argpartition(d, RERANK - 1, axis=1)[:, :RERANK]
-        sims = np.empty(cand.shape, np.float32)
-        for at in range(0, n, 256):
-            sims[at : at + 256] = np.einsum("nd,ncd->nc", v[at : at + 256], v[cand[at : at + 256]])
-    if sims.shape[1] > k:
-        top = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-        sims = np.take_along_axis(sims, top, 1)
-        cand = top if cand is None else np.take_along_axis(cand, top, 1)
-    elif cand is None:
-        cand = np.tile(np.arange(n), (n, 1))
-    q, c = np.nonzero(sims >= max(least, -1.5))
-    return ids[q], ids[cand[q, c]], sims[q, c]
+        parts = [(f[q], f[c], sims) for s, e in zip(cuts[:-1], cuts[1:]) if e - s > 1 for f in [rows[s:e]] for q, c, sims in [_top_of(v[f], k, least)]]
+        if not parts:
+            return ids[:0], ids[:0], v[:0, 0]
+        q, c, sims = (np.concatenate(x) for x in zip(*parts))
+        _, first = np.unique(q * len(ids) + c, return_index=True)
+        q, c, sims = q[first], c[first], sims[first]
+        order = np.lexsort((ids[c], -sims, q))
+        q, c, sims = q[order], c[order], sims[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        q, c, sims = q[rank < k], c[rank < k], sims[rank < k]
+    return ids[q], ids[c], sims
 
 
 def _searcher(dim: int, k: int, least: float):
-    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Windows of the inverted files, in order of key and permutation; at most 1.5 windows are held."""
-        held = None
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Whole units, in order of key; one is held at a time."""
+        held, now = [], None
         for b in batches:
             if not b.num_rows:
                 continue
-            perm = b.column("perm").to_pylist()
+            key, perm = b.column("key").to_numpy(), b.column("perm").to_pylist()
             part = (
-                b.column("key").to_numpy(),
                 b.column("id").to_numpy(),
                 np.frombuffer(b"".join(b.column("vec").to_pylist()), np.float32).reshape(-1, dim),
-                np.frombuffer(b"".join(perm), ">u2").reshape(len(perm), -1).astype(np.int32),
+                np.frombuffer(b"".join(perm), ">u2").reshape(len(perm), -1).astype(np.uint16),
             )
-            if held is not None:
-                part = tuple(np.concatenate([x, y]) for x, y in zip(held, part))
-            key, s = part[0], 0
-            cuts = [*(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-            for e in cuts:
-                while e - s > WINDOW:
-                    yield tuple(x[s : s + WINDOW] for x in part[1:])
-                    s += WINDOW // 2
-                if e < len(key):
-                    if e - s > 1:
-                        yield tuple(x[s:e] for x in part[1:])
-                    s = e
-            held = tuple(x[s:].copy() for x in part)
-        if held is not None and len(held[0]) > 1:
-            yield held[1:]
+            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            for s, e in zip(cuts[:-1], cuts[1:]):
+                if held and key[s] != now:
+                    yield now >> 32, *(np.concatenate(x) for x in zip(*held))
+                    held = []
+                now = int(key[s])
+                held.append(tuple(x[s:e].copy() for x in part))
+        if held:
+            yield now >> 32, *(np.concatenate(x) for x in zip(*held))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, size = [], 0
-        for f in files(batches):
-            out.append(_best(*f, k, least))
+        for pivot, ids, v, perm in units(batches):
+            if len(ids) < 2:
+                continue
+            out.append(_best(pivot, ids, v, perm.astype(np.int64), k, least))
             size += len(out[-1][0])
             if size > 20_000:
                 yield pa.record_batch([np.concatenate(x) for x in zip(*out)], names=["id", "other", "similarity"])
@@ -150,8 +184,8 @@ def similar_vectors(rows: DataFrame, id_col: str, vec_col: str, *, dim: int, k:
     """(id, other, similarity): up to k most similar other ids of each usable vector, by cosine, approximately.
 
     Pivots are a sample of at most max_pivots distinct vectors (about the square root of their number, by hash of
-    the id): the only thing fitted on a sample. Every vector is indexed. Files are range-partitioned by key,
-    permutation and id, so one that holds a third of all rows spreads over tasks and is walked in windows.
+    the id): the only thing fitted on a sample. Every vector is indexed. A pivot's unit of more than UNIT rows is cut
+    into blocks of which every two meet, so one that holds a third of all rows spreads over tasks and loses no pair.
     Equal vectors are indexed once; their ids are each other's neighbours with similarity 1, smallest ids first.
     Neighbours below min_similarity are left out. Null ids, null vectors, other lengths, null, infinite or NaN
     elements and zero vectors take no part; an id delivered again counts once.
@@ -168,9 +202,10 @@ def similar_vectors(rows: DataFrame, id_col: str, vec_col: str, *, dim: int, k:
     out = "id bigint, other bigint, similarity float"
     if not len(pivots):
         return singles.mapInArrow(lambda batches: iter(()), out)
-    posts = singles.mapInArrow(_poster(pivots), "key int, perm binary, id bigint, vec binary")
-    files = posts.repartitionByRange("key", "perm", "id").sortWithinPartitions("key", "perm", "id")
-    near = files.mapInArrow(_searcher(dim, k, min_similarity), out)
+    counts = singles.mapInArrow(_poster(pivots), "pivot int").groupBy("pivot").count().filter(F.col("count") > UNIT).collect()
+    blocks = {r.pivot: math.ceil(r["count"] / (UNIT // 2)) for r in counts}
+    posts = singles.mapInArrow(_poster(pivots, blocks), "key bigint, perm binary, id bigint, vec binary")
+    near = posts.repartition("key").sortWithinPartitions("key").mapInArrow(_searcher(dim, k, min_similarity), out)
     near = _top(near.repartition("id").groupBy("id", "other").agg(F.max("similarity").alias("similarity")), k)
     return _with_copies(near, copies, k)
 

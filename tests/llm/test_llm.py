@@ -145,6 +145,24 @@ def test_equal_vectors_and_hot_file(spark):
     assert neighbours.similar_vectors(spark.createDataFrame(rows[:1], "vid long, v array<double>"), "vid", "v", dim=8).count() == 0
 
 
+def _recall(spark, v, of=None):
+    """Share of the true five neighbours of the rows `of` (all without it) that are found."""
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vid long, v array<double>")
+    got = {(r.id, r.other) for r in neighbours.similar_vectors(df, "vid", "v", dim=v.shape[1], k=5).collect()}
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = {(int(i), int(j)) for i in (range(len(v)) if of is None else of) for j in np.argpartition(-s[i], 5)[:5]}
+    return len(want & got) / len(want)
+
+
+def test_neighbours_recall_without_close_copies(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(60, 32))
+    v = centres[rng.integers(0, 60, 4000)] + rng.normal(size=(4000, 32)) * 0.8
+    assert _recall(spark, v) >= 0.9
+
+
 # --- 5 pairs ---------------------------------------------------------------------------------------------------------
 
 Q = "How tall can a fence be on Elm Road?"
