@@ -22,6 +22,9 @@ PERM = 8
 UNIT = 65_536
 #: Similarities held at once.
 CELLS = 4_000_000
+#: No two pivots are as similar as this: a group of copies with small edits has a pivot or two, shares its files and is
+#: compared whole, however many of the rows it holds.
+APART = 0.9
 
 
 def _usable(dim: int):
@@ -45,6 +48,17 @@ def unit_vectors(rows: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFr
     return spread(kept, "id").mapInArrow(_usable(dim), "id bigint, vec binary")
 
 
+def _apart(v: np.ndarray, count: int) -> np.ndarray:
+    """The first rows of v, at most count, that are less similar than APART to all taken before."""
+    taken = np.empty((count, v.shape[1]), np.float32)
+    n = 0
+    for row in v:
+        if n < count and not (taken[:n] @ row >= APART).any():
+            taken[n] = row
+            n += 1
+    return taken[:n]
+
+
 def _poster(pivots: np.ndarray, blocks: dict[int, int] | None = None):
     """Posts of each vector under its nearest pivots but the last in number. blocks: of the pivots whose unit is cut, into how
     many; without it only the keys come, to be counted."""
@@ -184,8 +198,9 @@ def similar_vectors(rows: DataFrame, id_col: str, vec_col: str, *, dim: int, k:
     """(id, other, similarity): up to k most similar other ids of each usable vector, by cosine, approximately.
 
     Pivots are a sample of at most max_pivots distinct vectors (about the square root of their number, by hash of
-    the id): the only thing fitted on a sample. Every vector is indexed. A pivot's unit of more than UNIT rows is cut
-    into blocks of which every two meet, so one that holds a third of all rows spreads over tasks and loses no pair.
+    the id, less similar than APART): the only thing fitted on a sample. Every vector is indexed. A pivot's unit of more
+    than UNIT rows is cut into blocks of which every two meet, so one that holds a third of all rows spreads over tasks
+    and loses no pair; the time for such a group grows with the square of its rows.
     Equal vectors are indexed once; their ids are each other's neighbours with similarity 1, smallest ids first.
     Neighbours below min_similarity are left out. Null ids, null vectors, other lengths, null, infinite or NaN
     elements and zero vectors take no part; an id delivered again counts once.
@@ -197,8 +212,8 @@ def similar_vectors(rows: DataFrame, id_col: str, vec_col: str, *, dim: int, k:
     singles = unit.join(copies.filter("id <> rep").select("id"), "id", "left_anti").select("id", "vec")
     n = singles.count()
     count = int(min(max_pivots, n, max(64, 2 ** round(math.log2(max(1.0, math.sqrt(n)))))))
-    sample = singles.orderBy(F.xxhash64("id"), "id").limit(count).collect()
-    pivots = np.frombuffer(b"".join(r.vec for r in sample), np.float32).reshape(-1, dim)
+    sample = singles.orderBy(F.xxhash64("id"), "id").limit(4 * count).collect()
+    pivots = _apart(np.frombuffer(b"".join(r.vec for r in sample), np.float32).reshape(-1, dim), count)
     out = "id bigint, other bigint, similarity float"
     if not len(pivots):
         return singles.mapInArrow(lambda batches: iter(()), out)

@@ -163,6 +163,19 @@ def test_neighbours_recall_without_close_copies(spark):
     assert _recall(spark, v) >= 0.9
 
 
+def test_hot_file_of_edited_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    hot = rng.normal(size=64)
+    v = np.concatenate([rng.normal(size=(1500, 64)), hot / np.linalg.norm(hot) + rng.normal(size=(7000, 64)) * 0.02])
+    rng.shuffle(v)
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    of = np.flatnonzero(u @ hot / np.linalg.norm(hot) > 0.8)
+    assert len(of) == 7000
+    assert _recall(spark, v, of) >= 0.9
+    monkeypatch.setattr(neighbours, "UNIT", 2000)  # units cut into blocks
+    assert _recall(spark, v, of) >= 0.9
+
+
 # --- 5 pairs ---------------------------------------------------------------------------------------------------------
 
 Q = "How tall can a fence be on Elm Road?"
