@@ -308,6 +308,11 @@ def change_detection(spark: SparkSession, d: str) -> DataFrame:
     return store.detect_changes(s.filter("snapshot_no = 1"), s.filter("snapshot_no = 2"), "url", "content_sha256")
 
 
+def change_detection_all(spark: SparkSession, d: str) -> DataFrame:
+    """change_detection over the whole table: every snapshot against the one before."""
+    return store.detect_all_changes(load(spark, d, "bylaw_snapshots"), "snapshot_no", "url", "content_sha256")
+
+
 # --- answers --------------------------------------------------------------------------------------------------------
 
 
@@ -393,7 +398,7 @@ QUERIES = {
         input_caps, slug_filename, slug_id, bylaw_id, content_hash, nonblank_filter, whitespace_normalize, newline_collapse, paragraph_split, sentence_split, year_number,
         lenient_dates, url_join, fixed_chunks, chunk_sequence, chunk_overlap, chunk_counts, packed_chunks, chapter_table, page_links, first_pdf, page_meta, html_text,
         links_distinct, json_loader, exists_scan, ingest_counters, missing_embedding, unified_chunks, legacy_chunks, sample_head, chunk_upsert, snapshot_upsert, bulk_append, update_embedding, key_uniqueness,
-        slug_last_wins, change_detection, context_concat, source_list, sources_dedup_top5, history_text, history_first3, prompt_text, response_status, rag_end_to_end,
+        slug_last_wins, change_detection, change_detection_all, context_concat, source_list, sources_dedup_top5, history_text, history_first3, prompt_text, response_status, rag_end_to_end,
         hash_embed, log_roundtrip, log_cooldown, p2_found,
     )
 }

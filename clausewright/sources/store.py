@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,12 +61,23 @@ def files_by_slug(rows: DataFrame, title: str, pos: str) -> DataFrame:
     return latest_by(named, ["slug"], [F.desc(pos)])
 
 
-def detect_changes(old: DataFrame, new: DataFrame, key: str = "url", hash_col: str = "hash") -> DataFrame:
+def detect_changes(old: DataFrame, new: DataFrame, key: str | list[str] = "url", hash_col: str = "hash") -> DataFrame:
     """(key, state, changed) over both: new (no earlier hash), changed, unchanged, missing (no page now)."""
-    o = old.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max(hash_col).alias("before"))
-    n = new.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max(hash_col).alias("now"), F.lit(True).alias("here"))
+    keys = [key] if isinstance(key, str) else key
+    known = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    o = old.filter(known).groupBy(*keys).agg(F.max(hash_col).alias("before"))
+    n = new.filter(known).groupBy(*keys).agg(F.max(hash_col).alias("now"), F.lit(True).alias("here"))
     state = F.when(F.col("here").isNull(), "missing").when(F.col("before").isNull(), "new").when(F.col("before").eqNullSafe(F.col("now")), "unchanged").otherwise("changed")
-    return o.join(n, key, "full").select(key, state.alias("state"), (state != "unchanged").alias("changed"))
+    return o.join(n, keys, "full").select(*keys, state.alias("state"), (state != "unchanged").alias("changed"))
+
+
+def detect_all_changes(rows: DataFrame, snapshot: str = "snapshot_no", key: str = "url", hash_col: str = "hash") -> DataFrame:
+    """(snapshot, key, state, changed): detect_changes of every snapshot but the first against the one before it that is there. Rows without a number take no part."""
+    w = Window.orderBy(snapshot)  # a row a snapshot
+    numbers = rows.select(snapshot).filter(F.col(snapshot).isNotNull()).distinct().select(snapshot, F.lead(snapshot).over(w).alias("_next"), F.lag(snapshot).over(w).alias("_last"))
+    s = rows.select(snapshot, key, hash_col).join(numbers, snapshot)
+    old = s.filter("_next is not null").select(F.col("_next").alias(snapshot), key, hash_col)
+    return detect_changes(old, s.filter("_last is not null"), [snapshot, key], hash_col)
 
 
 def swap(df: DataFrame, path: str) -> DataFrame:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from clausewright.plans import queries
 from clausewright.sources import loaders, store
 from clausewright.operators import activity, graph, snapshots
 
@@ -39,6 +40,16 @@ def test_changes(spark):
     assert rows(store.detect_changes(o, n), "url", "state") == [("u1", "unchanged"), ("u2", "changed"), ("u3", "new"), ("u4", "missing"), ("u5", "new")]
 
 
+def test_changes_of_all_snapshots(spark, data):
+    s = spark.createDataFrame([(1, "u1", "a"), (1, "u2", "b"), (2, "u1", "a"), (2, "u3", "c"), (4, "u1", "x"), (4, "u2", "b"), (4, None, "z"), (None, "u1", "q")], "snapshot_no int, url string, hash string")
+    want = [(2, "u1", "unchanged"), (2, "u2", "missing"), (2, "u3", "new"), (4, "u1", "changed"), (4, "u2", "new"), (4, "u3", "missing")]
+    assert rows(store.detect_all_changes(s), "snapshot_no", "url", "state") == want
+    assert store.detect_all_changes(s.filter("snapshot_no = 1")).count() == 0 and store.detect_all_changes(s.limit(0)).count() == 0
+    got = queries.change_detection_all(spark, data)
+    assert rows(got.filter("snapshot_no = 2"), "url", "state", "changed") == rows(queries.change_detection(spark, data), "url", "state", "changed")
+    assert rows(got.select("snapshot_no").distinct(), "snapshot_no") == [(2,), (3,), (4,), (5,), (6,)]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub/One.TXT").write_text("body", encoding="utf-8")
