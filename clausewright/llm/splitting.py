@@ -20,9 +20,10 @@ def tidy(text: Column) -> Column:
     return F.regexp_replace(t, rf"^{_ENDS}|{_ENDS}\z", "")
 
 
-def cut_points(text: str, limit: int) -> list[int]:
+def cut_points(text: str, limit: int, overlap: int = 0) -> list[int]:
     """Where the bodies of at most `limit` characters begin: a body over it is cut at the strongest boundary in the
-    middle half of its length, the nearest to its middle among equals, or at the very middle where there is none."""
+    middle half of its length, the nearest to its middle among equals. Where that half has none, the nearest white space that
+    leaves more than `overlap` on both sides is taken, and the very middle only where there is none either."""
     starts, todo = [0], [(0, len(text))]
     while todo:
         s, e = todo.pop()
@@ -35,6 +36,9 @@ def cut_points(text: str, limit: int) -> list[int]:
             if ends:
                 cut = min(ends, key=lambda x: (abs(x - mid), x))
                 break
+        else:
+            ends = [m.end() for m in BOUNDARIES[-1].finditer(text, s, e) if s + overlap < m.end() < e - overlap]
+            cut = min(ends, key=lambda x: (abs(x - mid), x), default=mid)
         starts.append(cut)
         todo += [(s, cut), (cut, e)]
     return sorted(starts)
@@ -45,7 +49,7 @@ def split_text(text: str, size: int = 1000, overlap: int = 150) -> list[str]:
     pieces without their overlaps are the text again. A text within the size is one piece, an empty one none."""
     if len(text) <= size:
         return [text] if text else []
-    starts = cut_points(text, size - overlap)
+    starts = cut_points(text, size - overlap, overlap)
     ends = starts[1:] + [len(text)]
     return [text[max(0, s - (overlap if s else 0)) : e] for s, e in zip(starts, ends)]
 
@@ -53,8 +57,8 @@ def split_text(text: str, size: int = 1000, overlap: int = 150) -> list[str]:
 def split_oversized(items: DataFrame, keys: list[str], text_col: str = "text", size: int = 1000, overlap: int = 150) -> DataFrame:
     """keys + (chunk_index, chunk_text) for each item whose tidied text is over `size` characters (code points).
 
-    0 <= 4 * overlap <= size is required, so that every body, at least a quarter of what was cut, is longer than
-    the overlap. Null, blank and short texts give no rows; repeated rows give repeated pieces. Lengths are tested in
+    0 <= 4 * overlap <= size is required, so that every body, at least a quarter of what was cut or tested for it, is
+    longer than the overlap. Null, blank and short texts give no rows; repeated rows give repeated pieces. Lengths are tested in
     the JVM, only oversized texts go to Python.
     """
     if not 0 <= 4 * overlap <= size:

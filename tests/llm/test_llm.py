@@ -106,6 +106,13 @@ def test_pieces_cut_at_boundaries(spark):
         splitting.split_oversized(df, ["k"], "body", 100, 30)
 
 
+def test_no_cut_inside_a_word_while_there_is_white_space():
+    text = "a" * 200 + " " + "b" * 805
+    pieces = splitting.split_text(text)
+    assert [len(p) for p in pieces] == [201, 955] and pieces[1][150:] == "b" * 805
+    assert [len(p) for p in splitting.split_text("a" * 100 + " " + "b" * 905)] == [503, 653]  # the first would not exceed the overlap
+
+
 # --- 4 vectors -------------------------------------------------------------------------------------------------------
 
 
