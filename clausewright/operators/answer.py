@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausewright.functions.text import default_if_empty, py_strip
+from clausewright.runtime import materialize
 
+# What separates sections, and the names and texts shown where nothing is known.
 SEPARATOR = "\n\n---\n\n"
 NO_CONTEXT = "No section of the by-laws fits this question."
 STORE_DOWN = "The chunk store gave no results."
@@ -27,10 +30,11 @@ def route_city(requests: DataFrame, registry: DataFrame, city: str = "city") ->
 
 
 def validate(requests: DataFrame, query: str = "query") -> DataFrame:
-    """routed requests with `error`: first the unknown city, then the empty query, else null."""
-    return requests.withColumn(
-        "error", F.when(F.col("collection").isNull(), F.lit("unknown city")).when(F.coalesce(F.length(py_strip(query)), F.lit(0)) == 0, F.lit("empty query"))
-    )
+    """routed requests with `error`: first a body that is no JSON (where a column is_json tells), then the unknown city, then the
+    empty query, else null."""
+    broken = ~F.col("is_json") if "is_json" in requests.columns else F.lit(False)
+    blank = F.coalesce(F.length(py_strip(query)), F.lit(0)) == 0
+    return requests.withColumn("error", F.when(broken, F.lit("not json")).when(F.col("collection").isNull(), F.lit("unknown city")).when(blank, F.lit("empty query")))
 
 
 def context_text(hits: DataFrame, query_id: str = "query_id", rank: str = "rank", text: str = "chunk_text") -> DataFrame:
@@ -80,24 +84,52 @@ def history_text(messages: Column) -> Column:
     return F.coalesce(F.array_join(F.transform(messages, lambda m: speaker_line(m["fromMe"], m["text"])), "\n"), F.lit(""))
 
 
+#: What the model is told, in order; {day} is the day of the question.
+INSTRUCTIONS = (
+    "Answer in three to six sentences unless the question asks for more; bullet points are welcome where they help.",
+    "Name the exact figures, limits and conditions that the sections give.",
+    "Where no section settles the question, offer what comes closest to it in them.",
+    "Where the question refers to something said before, sum that up from the conversation.",
+    "Where nothing given can answer it, say which information there is and that it does not suffice.",
+    "Sections may begin or end in mid-word; complete such words so that the answer reads well.",
+    "Rather be clear and right than guess.",
+    "Of fees with several effective dates use the one in force on {day}; give past amounts only if they are asked for.",
+)
+
+
 def prompt_text(query: Column, context: Column, city: Column, history: Column, today: Column) -> Column:
     """The prompt: role, sections found, question, history, instructions with the date (given, so that runs repeat)."""
-    day = F.date_format(today, "MMMM dd, yyyy")
+    rules = "\n".join(f"{i}. {x}" for i, x in enumerate(INSTRUCTIONS, 1)).split("{day}")
     return F.concat(
         F.lit("You help residents of "), default_if_empty(city, "the city"), F.lit(" understand municipal by-laws.\n\nSections found:\n"), default_if_empty(context, NO_CONTEXT),
-        F.lit("\n\nQuestion:\n"), default_if_empty(query, "(no question)"), F.lit("\n\nConversation so far:\n"), default_if_empty(history, "(none)"),
-        F.lit("\n\nAnswer from these sections only, name them, and say so if they do not settle the question. Use the fees in force on "), day, F.lit("."),
+        F.lit("\n\nQuestion:\n"), default_if_empty(query, "(no question)"), F.lit("\n\nConversation so far, oldest first:\n"), default_if_empty(history, "(none)"),
+        F.lit("\n\nInstructions:\n" + rules[0]), F.date_format(today, "MMMM dd, yyyy"), F.lit(rules[1]),
     )
 
 
-def extractive(prompt: str) -> str:
-    """Stand-in for a language model: the beginning of the first section found."""
+@dataclass(frozen=True)
+class Sampling:
+    """Settings handed to the model with every prompt."""
+
+    temperature: float = 0.5
+    top_p: float = 0.95
+    top_k: int = 40
+    max_output_tokens: int = 512
+
+
+def extractive(prompt: str, settings: Sampling = Sampling()) -> Iterator[str]:
+    """Stand-in for a language model: the beginning of the first section found, in pieces of some words."""
     body = prompt.split("Sections found:\n", 1)[-1].split("\n\nQuestion:", 1)[0]
-    return body.split(SEPARATOR)[0][:512] or "No answer."
+    said = body.split(SEPARATOR)[0][: settings.max_output_tokens]
+    for at in range(0, len(said), 64):
+        yield said[at : at + 64]
+
 
+Model = Callable[[str, Sampling], Iterable[str]]
 
-def generate(prompt: Column, model: Callable[[str], str] = extractive) -> Column:
-    """struct(text, error): the model's answer, or the error; an empty answer is a fixed text."""
+
+def generate(prompt: Column, model: Model = extractive, settings: Sampling = Sampling()) -> Column:
+    """struct(text, error): the model's pieces joined, or its error; an empty answer is a fixed text."""
 
     @F.pandas_udf("text string, error string")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -105,7 +137,8 @@ def generate(prompt: Column, model: Callable[[str], str] = extractive) -> Column
             rows = []
             for p in s:
                 try:
-                    rows.append((("".join(model(p)) if p is not None else "") or "No response generated.", None))
+                    pieces = model(p, settings) if p is not None else ()
+                    rows.append(("".join(x for x in pieces if x) or "No response generated.", None))
                 except Exception as e:
                     rows.append((None, str(e)))
             yield pd.DataFrame(rows, columns=["text", "error"])
@@ -142,11 +175,46 @@ def feedback_body(feedback: Column, email: Column) -> Column:
     return F.when(F.nullif(feedback, F.lit("")).isNotNull(), body)
 
 
-def answer(requests: DataFrame, hits: DataFrame, today: Column, model: Callable[[str], str] = extractive) -> DataFrame:
+#: What a refused request is told, by the error of `validate`.
+REFUSED = {"not json": "Request must be JSON", "unknown city": "City Not found", "empty query": "Missing 'query' in request body"}
+
+
+def refusal(error: Column) -> Column:
+    """The body of a refused request."""
+    told = F.coalesce(*(F.when(error == k, v) for k, v in REFUSED.items()))
+    return F.to_json(F.struct(F.lit("error").alias("status"), F.struct(told.alias("message")).alias("error")))
+
+
+def answer(requests: DataFrame, hits: DataFrame, today: Column, model: Model = extractive, settings: Sampling = Sampling()) -> DataFrame:
     """(query_id, response) for a batch of valid requests(query_id, query, city, conversation_context, timestamp) with
     their hits. All up to the model call is one lazy plan."""
     found = hits.groupBy("query_id").agg(F.count("*").alias("n_hits"))
     r = requests.join(found, "query_id", "left").join(context_text(hits), "query_id", "left").join(source_list(hits), "query_id", "left")
     prompt = prompt_text(F.col("query"), F.col("context"), F.col("city"), history_text(F.col("conversation_context")), today)
-    r = r.withColumn("said", generate(prompt, model))
+    r = r.withColumn("said", generate(prompt, model, settings))
     return r.select("query_id", response(F.col("n_hits"), F.col("said.text"), F.col("said.error"), F.col("sources"), F.col("city"), F.col("timestamp")).alias("response"))
+
+
+def log_lines(requests: DataFrame, answers: DataFrame) -> DataFrame:
+    """What the log keeps of each answer: a degraded one as it was given, without the query; another with the query and without status and
+    message. The columns are those of schema.LOG."""
+    r, ok = F.col("response"), F.col("response.status") == "ok"
+    rows = answers.join(requests.select("query_id", "query"), "query_id")
+    shape = F.struct(F.when(~ok, r["status"]).alias("status"), F.when(~ok, r["message"]).alias("message"), *(r[c].alias(c) for c in ("ai_response", "ai_error", "retrieved_sources", "city", "timestamp")), F.when(ok, F.col("query")).alias("query"))
+    return rows.select("query_id", shape.alias("line")).select("query_id", "line.*")
+
+
+def serve(requests: DataFrame, registry: DataFrame, search: Callable[[DataFrame], DataFrame], today: Column, model: Model = extractive, settings: Sampling = Sampling()) -> tuple[DataFrame, DataFrame]:
+    """(replies, log) of a batch of decoded requests(query_id, query, city, conversation_context, timestamp).
+
+    replies(query_id, http_status, body): 400 with the first error for an unknown city or a blank query, else 200 with the
+    answer's JSON. log: the lines of the answers that were given. search gets the valid requests with their `collection` and
+    returns hits(query_id, rank, chunk_text, bylaw_title, bylaw_id, url); a request without hits gets the degraded answer. The
+    answers are written once, so that the model is asked once for both results. Query ids must be distinct.
+    """
+    checked = materialize(validate(route_city(requests, registry)))
+    valid = checked.filter("error is null").drop("error")
+    answers = materialize(answer(valid, search(valid), today, model, settings))
+    refused = checked.filter("error is not null").select("query_id", F.lit(400).alias("http_status"), refusal(F.col("error")).alias("body"))
+    given = answers.select("query_id", F.lit(200).alias("http_status"), response_json(F.col("response")).alias("body"))
+    return refused.union(given), log_lines(valid, answers)

@@ -31,45 +31,66 @@ def explode_chunks(docs: DataFrame, chunks: Column, keep: list[str], first: int
     return docs.select(*keep, F.posexplode(chunks).alias("chunk_index", "chunk_text")).withColumn("chunk_index", F.col("chunk_index") + first)
 
 
+#: What joins a paragraph, a sentence and a slice of a sentence to what is held before it.
+_GLUE = ("\n\n", " ", " ")
+
+
+def _between(gap: re.Pattern, text: str, lo: int, hi: int) -> list[tuple[int, int]]:
+    """The spans of text[lo:hi] that the gaps leave, without white space at their ends and without empty ones."""
+    ends = [lo]
+    for m in gap.finditer(text, lo, hi):
+        ends += m.span()
+    spans = zip(ends[::2], [*ends[1::2], hi])
+    return [(a, b) for a, b in (_trimmed(text, a, b) for a, b in spans) if a < b]
+
+
+def _trimmed(text: str, lo: int, hi: int) -> tuple[int, int]:
+    body = text[lo:hi]
+    return lo + len(body) - len(body.lstrip()), lo + len(body.rstrip())
+
+
+def _plan(text: str, target: int, least: int) -> list[list[tuple[str, int, int]]]:
+    """For each chunk the spans it is made of, with what stands before each.
+
+    A fold over a stack of spans that are not placed yet, each a paragraph (grain 0), a sentence (1) or what is left of a
+    sentence (2). Only lengths are looked at: a span is taken, begins the next chunk, or is put back as finer spans.
+    """
+    todo = [(0, lo, hi) for lo, hi in reversed(_between(_PARAGRAPH, text, 0, len(text)))]
+    plan: list[list[tuple[str, int, int]]] = [[]]
+    held = 0
+    while todo:
+        grain, lo, hi = todo.pop()
+        joint = _GLUE[grain] if held else ""
+        if grain == 2:
+            cut = min(hi, lo + max(1, target - held - len(joint)))
+            if cut < hi:
+                todo.append((2, cut, hi))
+            lo, cut = (lo, _trimmed(text, lo, cut)[1]) if held else _trimmed(text, lo, cut)
+            if lo < cut:
+                plan[-1].append((joint, lo, cut))
+                held += len(joint) + cut - lo
+            if held >= least:
+                plan.append([])
+                held = 0
+        elif held + hi - lo < target:
+            plan[-1].append((joint, lo, hi))
+            held += len(joint) + hi - lo
+        elif held >= least:
+            plan.append([("", lo, hi)])
+            held = hi - lo
+        elif grain == 1:
+            todo.append((2, lo, hi))
+        else:
+            todo += [(1, a, b) for a, b in reversed(_between(_SENTENCE, text, lo, hi))]
+    return plan
+
+
 def pack(text: str | None, target: int = 1000, least: int = 600) -> list[str]:
     """Paragraphs gathered to about `target` characters; those that do not fit are opened into sentences, and sentences
     without a full enough buffer before them are wrapped hard. A paragraph or sentence that follows a buffer of at
     least `least` characters starts a new one whatever its own length. Blank texts give none."""
-    if not text:
-        return []
-    text = re.sub(r"[ \t]+", " ", re.sub(r"\r\n?", "\n", text))
-    done: list[str] = []
-    held = ""
-
-    def close(s: str) -> str:
-        if s.strip():
-            done.append(s.strip())
-        return ""
-
-    for paragraph in filter(None, (p.strip() for p in _PARAGRAPH.split(text))):
-        if len(held) + len(paragraph) + 1 <= target:
-            held = f"{held}\n\n{paragraph}" if held else paragraph
-            continue
-        if len(held) >= least:
-            close(held)
-            held = paragraph
-            continue
-        for sentence in _SENTENCE.split(paragraph):
-            if len(held) + len(sentence) + 1 <= target:
-                held = f"{held} {sentence}" if held else sentence
-            elif len(held) >= least:
-                close(held)
-                held = sentence
-            else:
-                rest = sentence
-                while rest:
-                    room = max(target - len(held) - (1 if held else 0), 1)
-                    part, rest = rest[:room], rest[room:]
-                    held = f"{held} {part}".strip() if held else part.strip()
-                    if len(held) >= least:
-                        held = close(held)
-    close(held)
-    return done
+    text = re.sub(r"[ \t]+", " ", re.sub(r"\r\n?", "\n", text or ""))
+    return ["".join(joint + text[lo:hi] for joint, lo, hi in spans) for spans in _plan(text, target, least) if spans]
 
 
 def packed_chunks(text: Column, target: int = 1000, least: int = 600) -> Column:

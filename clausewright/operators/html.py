@@ -169,7 +169,10 @@ def html_meta(pages: DataFrame, html: str) -> DataFrame:
 
 
 def chapter_index(rows: DataFrame, keep: list[str], base: str) -> DataFrame:
-    """keep + (bylaw_id, title, pdf_url, pos) of table rows with two cells or more, a PDF link and a title that is not reserved."""
+    """keep + (bylaw_id, title, pdf_url, pos) of table rows with two cells or more, a PDF link and a title that is not reserved.
+    keep names the page; positions count within it."""
+    if not keep:
+        raise ValueError("keep must name the columns that tell pages apart")
     from clausewright.functions.text import py_strip, url_join
 
     first, second = F.col("cells")[0], F.col("cells")[1]
@@ -177,10 +180,15 @@ def chapter_index(rows: DataFrame, keep: list[str], base: str) -> DataFrame:
         *keep, "table_no", "row_no", py_strip(first["link"]).alias("bylaw_id"), py_strip(second["text"]).alias("title"), url_join(py_strip(first["href"]), base).alias("pdf_url")
     )
     r = r.filter("bylaw_id <> '' and title <> ''").filter(F.lower("pdf_url").endswith(".pdf") & ~F.contains(F.lower("title"), F.lit("reserved")))
-    w = Window.partitionBy(*keep).orderBy("table_no", "row_no") if keep else Window.orderBy("table_no", "row_no")
+    w = Window.partitionBy(*keep).orderBy("table_no", "row_no")
     return r.select(*keep, "bylaw_id", "title", "pdf_url", (F.row_number().over(w) - 1).alias("pos"))
 
 
+def escape(c: Column | str) -> Column:
+    """Text as it stands in HTML."""
+    return F.replace(F.replace(F.col(c) if isinstance(c, str) else c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+
+
 def is_page_link(href: Column) -> Column:
     return ~href.startswith("mailto:") & ~href.startswith("tel:") & href.rlike(r"-bylaw\.aspx$")
 

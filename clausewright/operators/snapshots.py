@@ -62,54 +62,98 @@ def assign_ordinals(keys: DataFrame, key: str, known: DataFrame | None = None, p
     return known.union(numbered)
 
 
-def _diff(first: int, last: int):
+def stored_ordinals(keys: DataFrame, key: str, path: str) -> DataFrame:
+    """(key, ordinal) of all keys ever given with this path: the table there gains rows for the keys it lacks, none is changed."""
+    spark = keys.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    known = spark.read.parquet(path) if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) else None
+    numbered = assign_ordinals(keys, key, known)
+    if known is not None:
+        numbered = numbered.join(known.select(key), key, "left_anti")
+    numbered.write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+class Bitmap:
+    """A set of positions within a block: sorted numbers while it is sparse, packed bits otherwise."""
+
+    def __init__(self, places: np.ndarray):
+        self.sparse = len(places) * 16 <= BLOCK
+        self.data = places.astype(np.uint16) if self.sparse else np.packbits(np.bincount(places, minlength=BLOCK).astype(bool))
+
+    def places(self) -> np.ndarray:
+        return self.data.astype(np.int64) if self.sparse else np.flatnonzero(np.unpackbits(self.data))
+
+    def has(self, places: np.ndarray) -> np.ndarray:
+        if self.sparse:
+            at = np.minimum(np.searchsorted(self.data, places), max(0, len(self.data) - 1))
+            return self.data[at] == places if len(self.data) else np.zeros(len(places), bool)
+        return (self.data[places >> 3] >> (7 - (places & 7)) & 1).astype(bool)
+
+    def and_not(self, other: "Bitmap") -> np.ndarray:
+        if not (self.sparse or other.sparse):
+            return np.flatnonzero(np.unpackbits(self.data & ~other.data))
+        mine = self.places()
+        return mine[~other.has(mine)]
+
+    def both(self, other: "Bitmap") -> np.ndarray:
+        if not (self.sparse or other.sparse):
+            return np.flatnonzero(np.unpackbits(self.data & other.data))
+        few, many = (self, other) if self.sparse else (other, self)
+        mine = few.places()
+        return mine[many.has(mine)]
+
+
+def _diff(numbers: list[int]):
+    """numbers: the snapshots there are, in order."""
     codes = np.array(["added", "removed", "changed"], object)
 
     def block(t: pa.Table) -> pa.Table:
-        at = t.column("snapshot_no").to_numpy() - first
-        pos = t.column("pos").to_numpy()
-        hashes = np.empty((last - first + 1, BLOCK), object)
-        bits = np.zeros((last - first + 1, BLOCK), bool)
-        hashes[at, pos] = np.array(t.column("hash").to_pylist(), object)
-        bits[at, pos] = True
-        packed = np.packbits(bits, axis=1)
-        known = hashes[0].copy()
+        snap, pos, hashes = t.column("snapshot_no").to_numpy(), t.column("pos").to_numpy(), np.array(t.column("hash").to_pylist(), object)
+        order = np.lexsort((pos, snap))
+        snap, pos, hashes = snap[order], pos[order], hashes[order]
+        last = np.full(BLOCK, None, object)  # the last hash of each ordinal
+        before = None
         out: list[tuple[np.ndarray, int, int]] = []
-        for s in range(1, len(bits)):
-            before, now = packed[s - 1], packed[s]
-            current = np.where(np.equal(hashes[s], None), known, hashes[s])
-            both = np.unpackbits(before & now).astype(bool)
-            moved = both & (current != known) & ~np.equal(known, None)
-            for code, hit in enumerate((np.unpackbits(now & ~before), np.unpackbits(before & ~now), moved)):
-                out.append((np.flatnonzero(hit), s + first, code))
-            known = np.where(bits[s], current, known)
-        where = np.concatenate([p for p, _, _ in out]) if out else np.zeros(0, np.int64)
+        for n in numbers:
+            lo, hi = np.searchsorted(snap, [n, n + 1])
+            now, new = Bitmap(pos[lo:hi]), last.copy()
+            told = ~np.equal(hashes[lo:hi], None)
+            new[pos[lo:hi][told]] = hashes[lo:hi][told]
+            if before is not None:
+                stay = now.both(before)
+                moved = stay[(new[stay] != last[stay]) & ~np.equal(last[stay], None)]
+                out += [(hit, n, code) for code, hit in enumerate((now.and_not(before), before.and_not(now), moved)) if len(hit)]
+            before, last = now, new
         base = int(t.column("block")[0].as_py()) << BLOCK_BITS
+        sizes = [len(p) for p, _, _ in out]
+        where = np.concatenate([p for p, _, _ in out]) if out else np.zeros(0, np.int64)
         return pa.table(
             {
-                "snapshot_no": pa.array(np.repeat([s for _, s, _ in out], [len(p) for p, _, _ in out]).astype(np.int32), pa.int32()),
+                "snapshot_no": pa.array(np.repeat([n for _, n, _ in out], sizes).astype(np.int32), pa.int32()),
                 "ordinal": pa.array(where + base, pa.int64()),
-                "change": pa.array(codes[np.repeat([c for _, _, c in out], [len(p) for p, _, _ in out]).astype(int)].tolist(), pa.string()),
+                "change": pa.array(codes[np.repeat([c for _, _, c in out], sizes).astype(int)].tolist(), pa.string()),
             }
         )
 
     return block
 
 
-def snapshot_changes(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """(snapshot_no, url, change) for every snapshot after the first against the number before it.
+def snapshot_changes(rows: DataFrame, ordinals_path: str | None = None) -> DataFrame:
+    """(snapshot_no, url, change) for every snapshot after the first against the one before it that is there.
 
-    Pages become ordinals; per block of 4,096 ordinals each snapshot is a bitmap (blocks without a page are not
-    stored), AND-NOT of neighbouring bitmaps gives `added` and `removed`, and the blocks' hash vectors give
-    `changed`. A page without a hash keeps the last one it had; a page that never had one is not `changed` by its
-    first. A page that is back after an absence is `added`. A missing snapshot number counts as an empty
-    snapshot. A block is at most 4,096 rows a snapshot, however the pages are skewed. No rows give no changes.
+    Pages become ordinals, which persist in the table at ordinals_path if that is given. Per block of 4,096 ordinals each
+    snapshot is a compressed bitmap (blocks without a page are not stored), AND-NOT of neighbouring bitmaps gives `added` and
+    `removed`, and the blocks' hash vectors give `changed`. A page without a hash keeps the last one it had; a page that
+    never had one is not `changed` by its first. A page that is back after an absence is `added`. Snapshots may be numbered with
+    gaps. A task holds two snapshots of a block at once beside the block's rows, however the pages are skewed. No rows
+    give no changes.
     """
     pages = materialize(latest_pages(rows))
-    first, last = pages.agg(F.min("snapshot_no"), F.max("snapshot_no")).first()
-    ordinals = materialize(assign_ordinals(pages, "url", known))
+    numbers = sorted(r[0] for r in pages.select("snapshot_no").distinct().collect())  # a number a snapshot
+    ordinals = materialize(assign_ordinals(pages, "url")) if ordinals_path is None else stored_ordinals(pages, "url", ordinals_path)
     placed = pages.join(ordinals, "url").select(
         "snapshot_no", "hash", F.shiftright("ordinal", BLOCK_BITS).alias("block"), (F.col("ordinal") % BLOCK).cast("int").alias("pos")
     )
-    found = placed.groupBy("block").applyInArrow(_diff(first or 0, last or 0), "snapshot_no int, ordinal bigint, change string")
+    found = placed.groupBy("block").applyInArrow(_diff(numbers), "snapshot_no int, ordinal bigint, change string")
     return found.join(ordinals, "ordinal").select("snapshot_no", "url", "change")

@@ -63,6 +63,13 @@ def _say(me: bool, c: str) -> str:
 
 _TURNS = [_say(True, "query"), _say(False, "ai_response"), _say(True, "city"), _say(False, "message")]
 
+_SLUG_FILE = f"""lower(regexp_replace(regexp_replace({_strip("coalesce(nullif(title, ''), 'untitled_bylaw')")}, '{_WS}+', '_', 'g'), '[^A-Za-z0-9_]', '', 'g'))"""
+
+_SERVED = f"""
+l AS ({_LOG}), x AS (SELECT l.*, coalesce(len(retrieved_sources), 0)::INT n, CASE WHEN status = 'degraded' THEN 'Request must be JSON' WHEN collection IS NULL THEN 'City Not found'
+  WHEN coalesce(length({_strip('query')}), 0) = 0 THEN 'Missing ''query'' in request body' END error FROM l LEFT JOIN city_registry r ON l.city = r.city)
+"""
+
 _LINKS = "WITH s AS (SELECT bylaw_id, regexp_replace(bylaw_id, '.*::', '') g FROM chapter_index)"
 
 SQL = {
@@ -76,7 +83,9 @@ SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], anchor::DOUBLE[
     "request_validation": f"""
 WITH l AS ({_LOG}) SELECT log_id, CASE WHEN collection IS NULL THEN 'unknown city' WHEN coalesce(length({_strip('query')}), 0) = 0 THEN 'empty query' END AS error
 FROM l LEFT JOIN city_registry r ON l.city = r.city""",
-    "request_decode": f"WITH l AS ({_LOG}) SELECT log_id, {_strip("coalesce(query, '')")} AS query, coalesce(city, 'Unknown City') AS city, 0::INT AS n_messages, logged_at AS timestamp FROM l",
+    "request_decode": f"""
+WITH l AS ({_LOG}) SELECT log_id, {_strip("coalesce(query, '')")} AS query, coalesce(city, 'Unknown City') AS city, CASE WHEN ai_response IS NULL THEN 0 ELSE 2 END::INT AS n_messages,
+  CASE WHEN ai_response IS NULL THEN '' ELSE {_say(True, 'query')} || chr(10) || {_say(False, 'ai_response')} END AS history, logged_at AS timestamp FROM l""",
     "response_decode": f"WITH l AS ({_LOG}) SELECT log_id, coalesce(ai_response, 'No answer.') AS ai_response, coalesce(len(retrieved_sources), 0)::INT AS n_sources FROM l",
     "city_requests": f"""
 WITH l AS ({_LOG}) SELECT log_id, CASE WHEN city <> '' THEN 'City request:' || chr(10) || chr(10) || 'City: ' || city || chr(10) || 'Email: ' || coalesce(nullif(ai_error, ''), 'N/A')
@@ -118,6 +127,25 @@ SELECT doc_id, chunk_index, CASE WHEN b IS NULL THEN chunk_text ELSE {_strip("ri
     "chapter_table": f"""
 SELECT {_strip('bylaw_id')} AS bylaw_id, {_strip('title')} AS title, {_strip('pdf_url')} AS pdf_url FROM chapter_index
 WHERE {_strip('bylaw_id')} <> '' AND {_strip('title')} <> '' AND lower({_strip('pdf_url')}) LIKE '%.pdf' AND NOT contains(lower(title), 'reserved')""",
+    "chapter_tables": f"""
+WITH e AS (SELECT {_strip('bylaw_id')} b, {_strip('title')} title, {_strip('pdf_url')} pdf_url, bylaw_id page FROM chapter_index
+  WHERE bylaw_number IS NOT NULL AND {_strip('title')} <> '' AND lower({_strip('pdf_url')}) LIKE '%.pdf' AND NOT contains(lower(title), 'reserved'))
+SELECT page, b || m AS bylaw_id, title, pdf_url, k::INT AS pos FROM e, (VALUES ('', 0), (' B', 1), (' C', 2)) v(m, k)""",
+    "scoped_links": _LINKS + """
+SELECT bylaw_id, k::INT AS pos, t AS text, CASE WHEN t = 'b' THEN 'b' ELSE 'a b c d e again' END AS around FROM s, (VALUES (0, 'a'), (1, 'b'), (2, 'c'), (3, 'd'), (4, 'e'), (5, 'again')) v(k, t)""",
+    "html_text": rf"""
+WITH l AS (SELECT chunk_id, list_filter(list_transform([coalesce(bylaw_title, '')] || string_split(coalesce(chunk_text, ''), chr(10)), lambda x: {_strip('x')}), lambda x: x <> '') p FROM bylaw_chunks)
+SELECT DISTINCT chunk_id, array_to_string(p, chr(10)) AS text FROM l""",
+    "packed_cover": f"""
+WITH t AS (SELECT scrape_id, arg_max(text, fetched_at) t FROM bylaws WHERE scrape_id IS NOT NULL GROUP BY 1),
+b AS (SELECT scrape_id, regexp_replace(t, '{_WS}+', '', 'g') b FROM t)
+SELECT scrape_id, md5(b) AS text_md5, true AS numbered, false AS has_blank FROM b WHERE b <> ''""",
+    "hash_embed": f"""
+WITH c AS (SELECT DISTINCT chunk_id, chunk_text, length({_strip("coalesce(chunk_text, '')")}) > 0 b FROM bylaw_chunks)
+SELECT DISTINCT chunk_id, CASE WHEN b THEN 384 END::INT AS dim, CASE WHEN b THEN CASE WHEN regexp_matches(chunk_text, '[\\w\\p{{L}}]') THEN 1.0 ELSE 0.0 END END::DOUBLE AS norm FROM c""",
+    "failed_embedding": _fixed(100) + f"SELECT doc_id, chunk_index, 16::INT AS dim FROM c WHERE length({_strip('chunk_text')}) > 0 AND NOT contains(chunk_text, 'permit')",
+    "reembed_fallback": f"""
+SELECT DISTINCT chunk_id, CASE WHEN length({_strip("coalesce(chunk_text, '')")}) > 0 THEN 16 ELSE len(chunk_embedding) END::INT AS dim FROM bylaw_chunks""",
     "page_links": _LINKS + """
 SELECT bylaw_id, 2::INT AS pos, 'https://bylaws.example/' || g || '-bylaw.aspx' AS url FROM s UNION ALL SELECT bylaw_id, 4, 'https://x.example/' || g || '-bylaw.aspx' FROM s""",
     "first_pdf": _LINKS + """
@@ -139,17 +167,40 @@ QUALIFY row_number() OVER (PARTITION BY bylaw_id, chunk_index, content_sha256 OR
     "snapshot_upsert": "SELECT url, content_sha256, max(snapshot_no) AS snapshot_no FROM bylaw_snapshots GROUP BY 1, 2",
     "bulk_append": "SELECT scrape_id, 2 * count(*) AS n FROM bylaws GROUP BY 1",
     "update_embedding": """
-WITH m AS (SELECT DISTINCT chunk_id FROM bylaw_chunks WHERE chunk_embedding IS NULL)
-SELECT DISTINCT c.chunk_id, CASE WHEN m.chunk_id IS NULL THEN embedding_model ELSE 'hashed-words' END AS embedding_model FROM bylaw_chunks c LEFT JOIN m ON c.chunk_id = m.chunk_id""",
+WITH n AS (SELECT DISTINCT chunk_id, embedding FROM bylaw_chunks JOIN embeddings ON vec_id = chunk_id % 500 WHERE chunk_embedding IS NULL),
+m AS (SELECT c.chunk_id, CASE WHEN n.chunk_id IS NULL THEN embedding_model ELSE 'table' END embedding_model, coalesce(n.embedding::FLOAT[], c.chunk_embedding::FLOAT[]) v FROM bylaw_chunks c LEFT JOIN n ON c.chunk_id = n.chunk_id)
+SELECT DISTINCT chunk_id, embedding_model, len(v)::INT AS dim, v[1]::DOUBLE AS first, v[-1]::DOUBLE AS last FROM m""",
     "key_uniqueness": "SELECT bylaw_id, chunk_index, content_sha256, count(*) AS n_rows FROM bylaw_chunks GROUP BY ALL HAVING count(*) > 1",
     "slug_last_wins": f"""
 WITH s AS (SELECT scrape_id, lower(regexp_replace(regexp_replace({_strip("coalesce(nullif(title, ''), 'untitled_bylaw')")}, '{_WS}+', '_', 'g'), '[^A-Za-z0-9_]', '', 'g')) slug FROM bylaws)
 SELECT slug, max(scrape_id) AS scrape_id FROM s GROUP BY slug""",
     "change_detection": """
-WITH o AS (SELECT url, max(content_sha256) h FROM bylaw_snapshots WHERE snapshot_no = 1 AND url IS NOT NULL GROUP BY 1),
-n AS (SELECT url, max(content_sha256) h FROM bylaw_snapshots WHERE snapshot_no = 2 AND url IS NOT NULL GROUP BY 1),
-j AS (SELECT coalesce(o.url, n.url) url, CASE WHEN n.url IS NULL THEN 'missing' WHEN o.h IS NULL THEN 'new' WHEN o.h IS NOT DISTINCT FROM n.h THEN 'unchanged' ELSE 'changed' END state FROM o FULL JOIN n ON o.url = n.url)
-SELECT url, state, state <> 'unchanged' AS changed FROM j""",
+WITH n AS (SELECT snapshot_no, row_number() OVER (ORDER BY snapshot_no) k FROM (SELECT DISTINCT snapshot_no FROM bylaw_snapshots WHERE snapshot_no IS NOT NULL)),
+p AS (SELECT k, snapshot_no, url, max(content_sha256) h FROM bylaw_snapshots JOIN n USING (snapshot_no) WHERE url IS NOT NULL GROUP BY ALL),
+o AS (SELECT k + 1 k, url, h FROM p WHERE k < (SELECT max(k) FROM n)), w AS (SELECT k, url, h FROM p WHERE k > 1),
+j AS (SELECT coalesce(o.k, w.k) k, coalesce(o.url, w.url) url, CASE WHEN w.url IS NULL THEN 'missing' WHEN o.h IS NULL THEN 'new' WHEN o.h IS NOT DISTINCT FROM w.h THEN 'unchanged' ELSE 'changed' END state
+  FROM o FULL JOIN w ON o.url = w.url AND o.k = w.k)
+SELECT snapshot_no, url, state, state <> 'unchanged' AS changed FROM j JOIN n USING (k)""",
+    "json_files": f"""
+WITH s AS (SELECT *, {_SLUG_FILE} slug FROM bylaws QUALIFY row_number() OVER (PARTITION BY slug ORDER BY scrape_id DESC) = 1)
+SELECT coalesce(nullif(title, ''), slug) AS title, url, coalesce(text, '') AS text, bylaw_number, fetched_at FROM s""",
+    "text_files": """
+SELECT 'law ' || scrape_id || '.v1' AS title, NULL::VARCHAR AS url, min(text) AS text, NULL::VARCHAR AS bylaw_number, NULL::VARCHAR AS fetched_at
+FROM bylaws WHERE scrape_id IS NOT NULL AND text IS NOT NULL GROUP BY scrape_id""",
+    "page_files": f"SELECT pos::VARCHAR AS name, coalesce({_strip('title')}, '') AS h1 FROM chapter_index",
+    "page_fetch": """
+SELECT DISTINCT url, CASE WHEN length(url) % 7 = 0 THEN NULL WHEN length(url) % 5 = 0 THEN 404 ELSE 200 END::INT AS http_status, CASE WHEN length(url) % 7 <> 0 AND length(url) % 5 <> 0 THEN url END AS content,
+  CASE WHEN length(url) % 7 = 0 THEN 'down' WHEN length(url) % 5 = 0 THEN 'status 404' END AS error FROM bylaw_snapshots WHERE url IS NOT NULL""",
+    "pdf_policies": f"""
+WITH p AS (SELECT doc_id, string_split(text, chr(10) || chr(10)) p FROM documents WHERE text IS NOT NULL),
+b AS (SELECT *, list_position(list_transform(p, lambda x: length(x) > 600), true) bad FROM p),
+r AS (SELECT doc_id, bad, list_transform(list_filter(p, lambda x: length(x) <= 600), lambda x: CASE WHEN length(x) >= 20 THEN x ELSE '' END) good,
+  list_transform(CASE WHEN bad IS NULL THEN p ELSE p[1:bad - 1] END, lambda x: CASE WHEN length(x) >= 20 THEN x ELSE '' END) upto FROM b),
+t AS (SELECT doc_id, bad, array_to_string(good, '') g, array_to_string(list_transform(upto, lambda x: x || chr(10)), '') u FROM r)
+SELECT doc_id, CASE WHEN {_strip('g')} <> '' THEN g END AS skip_page, CASE WHEN bad IS NULL THEN g ELSE '' END AS plain, {_strip('u')} AS line_per_page FROM t""",
+    "sheet_rows": f"""
+WITH l AS ({_LOG}) SELECT coalesce(logged_at, '') AS timestamp, coalesce(query, '') AS query, coalesce(replace(ai_response, chr(13), ''), '') AS response, '' AS other_logs, count(*) AS n, 'no connection' AS error
+FROM l GROUP BY ALL""",
     "context_concat": _HITS + "SELECT query_id, string_agg(chunk_text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM hits WHERE chunk_text <> '' GROUP BY query_id",
     "source_list": _HITS + "SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1)::INT AS pos, bylaw_title AS title, bylaw_id, url AS pdf_url FROM hits",
     "sources_dedup_top5": _SOURCES + """
@@ -160,8 +211,28 @@ SELECT log_id, pos, trim(title || ' ' || CASE WHEN b <> '' THEN '(' || b || ')'
     "prompt_text": f"""
 WITH l AS ({_LOG}) SELECT log_id, 'You help residents of ' || coalesce(nullif(city, ''), 'the city') || ' understand municipal by-laws.' || chr(10) || chr(10) || 'Sections found:' || chr(10)
   || coalesce(nullif(message, ''), 'No section of the by-laws fits this question.') || chr(10) || chr(10) || 'Question:' || chr(10) || coalesce(nullif(query, ''), '(no question)') || chr(10) || chr(10)
-  || 'Conversation so far:' || chr(10) || coalesce(nullif(ai_error, ''), '(none)') || chr(10) || chr(10)
-  || 'Answer from these sections only, name them, and say so if they do not settle the question. Use the fees in force on June 01, 2024.' AS prompt FROM l""",
+  || 'Conversation so far, oldest first:' || chr(10) || coalesce(nullif(ai_error, ''), '(none)') || chr(10) || chr(10) || 'Instructions:' || chr(10)
+  || '1. Answer in three to six sentences unless the question asks for more; bullet points are welcome where they help.' || chr(10)
+  || '2. Name the exact figures, limits and conditions that the sections give.' || chr(10)
+  || '3. Where no section settles the question, offer what comes closest to it in them.' || chr(10)
+  || '4. Where the question refers to something said before, sum that up from the conversation.' || chr(10)
+  || '5. Where nothing given can answer it, say which information there is and that it does not suffice.' || chr(10)
+  || '6. Sections may begin or end in mid-word; complete such words so that the answer reads well.' || chr(10)
+  || '7. Rather be clear and right than guess.' || chr(10)
+  || '8. Of fees with several effective dates use the one in force on June 01, 2024; give past amounts only if they are asked for.' AS prompt FROM l""",
+    "serve_replies": f"""
+WITH {_SERVED}
+SELECT log_id, CASE WHEN error IS NULL THEN 200 ELSE 400 END::INT AS http_status, CASE WHEN error IS NOT NULL THEN 'error' WHEN n = 0 THEN 'degraded' ELSE 'ok' END AS status, error,
+  CASE WHEN error IS NOT NULL THEN NULL WHEN n = 0 THEN 'The by-laws cannot be searched at the moment. Please ask again later.'
+       ELSE left(coalesce(list_filter(list_transform(retrieved_sources, lambda s: s.title), lambda t: t <> '')[1], 'No section of the by-laws fits this question.'), 512) END AS ai_response,
+  CASE WHEN error IS NULL THEN city END AS city FROM x""",
+    "serve_log": f"""
+WITH {_SERVED}
+SELECT log_id, CASE WHEN n = 0 THEN 'degraded' END AS status, CASE WHEN n = 0 THEN 'The chunk store gave no results.' END AS message, CASE WHEN n > 0 THEN {_strip('query')} END AS query, n AS n_sources
+FROM x WHERE error IS NULL""",
+    "history_finished": f"""
+WITH l AS ({_LOG}) SELECT log_id, array_to_string(list_filter([CASE WHEN query IS NOT NULL THEN 'User: ' || query END, CASE WHEN ai_response IS NOT NULL THEN 'AI: ' || ai_response END,
+  CASE WHEN city IS NOT NULL THEN 'User: ' || city END, CASE WHEN message IS NOT NULL THEN 'AI: ' || message END], lambda x: x IS NOT NULL), chr(10)) AS history FROM l""",
     "response_status": f"""
 WITH l AS ({_LOG}), x AS (SELECT *, coalesce(len(retrieved_sources), 0) = 0 AS none FROM l)
 SELECT log_id, CASE WHEN none OR ai_error IS NOT NULL THEN 'degraded' ELSE 'ok' END AS status,

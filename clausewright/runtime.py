@@ -20,22 +20,41 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Where the session names none (tests on one machine), a temporary one is set."""
+    """The folder all executors share, as the session names it.
+
+    Only where all runs in one process (local mode: tests, one machine) a temporary folder stands in for a missing setting;
+    on a cluster, whose machines do not share such a folder, that is an error.
+    """
     path = spark.conf.get(CHECKPOINT_DIR, None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"{CHECKPOINT_DIR} must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="clausewright-")
         atexit.register(shutil.rmtree, path, True)
         spark.conf.set(CHECKPOINT_DIR, path)
     return path
 
 
-def _delete_at_end(spark: SparkSession, path: str) -> None:
-    """The folder goes when the application ends; without a JVM at hand it stays."""
+#: Folders written for steps between, oldest first.
+_written: list[str] = []
+
+
+def _filesystem(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A path of its own in the shared folder. It goes with release, or when the application ends; without a JVM at hand it stays."""
+    path = f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
     try:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
-    except Exception:
-        pass
+        p, fs = _filesystem(spark, path)
+        fs.deleteOnExit(p)
+    except AttributeError:
+        return path
+    _written.append(path)
+    return path
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -45,12 +64,23 @@ def materialize(df: DataFrame) -> DataFrame:
     real size, by which it decides on broadcasts.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
-    _delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Deletes what materialize has written, from the folder numbered `since` on (`written` gives the next number). Results that
+    read these folders must have been used or stored before."""
+    while len(_written) > since:
+        p, fs = _filesystem(spark, _written.pop())
+        fs.delete(p, True)
+
+
+def written() -> int:
+    return len(_written)
+
+
 @contextmanager
 def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Within it, plans that are run hand at most `rows` rows at once to Python; for rows that are large."""

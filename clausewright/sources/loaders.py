@@ -9,13 +9,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausewright import schema
-from clausewright.functions.text import default_if_empty, file_stem, py_strip
+from clausewright.functions.text import file_stem, py_strip
+
+
+def _path() -> Column:
+    """The file's path; the metadata hold it URL-encoded."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
 
 
 def html_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, html), one row a file; a folder that is missing or unreadable gives none."""
     try:
-        return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html"))
+        return spark.read.text(path, wholetext=True).select(_path().alias("path"), F.col("value").alias("html"))
     except Exception:
         return spark.createDataFrame([], "path string, html string")
 
@@ -25,7 +30,7 @@ def _files(spark: SparkSession, root: str, suffix: str) -> DataFrame:
     pattern = "*." + "".join(f"[{c.lower()}{c.upper()}]" for c in suffix)
     return (
         spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+        .select(_path().alias("path"), F.col("value").alias("content"))
     )
 
 
@@ -111,11 +116,12 @@ def pdf_text(content: Column, pages: Callable[[bytes], Iterator[str | None]], po
 
 
 def decode_requests(bodies: DataFrame, body: str) -> DataFrame:
-    """bodies with query (stripped, '' if missing), city, conversation_context ([] if missing) and timestamp from JSON."""
+    """bodies with query (stripped, '' if missing), city, conversation_context ([] if missing), timestamp and is_json from JSON."""
     j = F.from_json(F.col(body), schema.REQUEST)
     return bodies.withColumn("_j", j).select(
         *[c for c in bodies.columns if c != body], py_strip(F.coalesce("_j.query", F.lit(""))).alias("query"), F.coalesce("_j.city", F.lit("Unknown City")).alias("city"),
         F.coalesce("_j.conversation_context", F.array().cast(f"array<{schema.MESSAGE}>")).alias("conversation_context"), F.col("_j.timestamp").alias("timestamp"),
+        F.coalesce(F.get_json_object(body, "$").startswith("{"), F.lit(False)).alias("is_json"),
     )
 
 
@@ -131,6 +137,3 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     """JSONL log lines of both shapes; broken lines become rows of nulls."""
     return spark.read.schema(schema.LOG).option("mode", "PERMISSIVE").json(path)
 
-
-def with_default(c: str, default: str) -> Column:
-    return default_if_empty(c, default)

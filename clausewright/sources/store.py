@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import and_
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausewright.functions.text import default_if_empty, slug_filename
-from clausewright.runtime import materialize
 
 KEY = ["bylaw_id", "chunk_index", "content_sha256"]
 
@@ -80,16 +82,64 @@ def detect_all_changes(rows: DataFrame, snapshot: str = "snapshot_no", key: str
     return detect_changes(old, s.filter("_last is not null"), [snapshot, key], hash_col)
 
 
+def _paths(spark, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    at, new, old = (hadoop(path.rstrip("/") + end) for end in ("", ".next", ".last"))
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at, new, old
+
+
+def recover(spark, path: str) -> None:
+    """After a swap that broke off: the snapshot before it is put back where none stands at path."""
+    fs, at, _, old = _paths(spark, path)
+    if not fs.exists(at) and fs.exists(old):
+        fs.rename(old, at)
+
+
 def swap(df: DataFrame, path: str) -> DataFrame:
-    """df written at path, which df itself may read: it is written aside first."""
-    aside = materialize(df)
-    aside.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as the new snapshot at path, which df itself may read.
+
+    It is written beside the old one in full; two renames then put it in the old one's place. A failure leaves the old
+    snapshot at path or beside it, from where `recover`, which every swap begins with, brings it back.
+    """
+    spark = df.sparkSession
+    recover(spark, path)
+    fs, at, new, old = _paths(spark, path)
+    df.write.mode("overwrite").parquet(new.toString())
+    fs.delete(old, True)
+    if fs.exists(at) and not fs.rename(at, old) or not fs.rename(new, at):
+        raise OSError(f"the new snapshot stays in {new.toString()}")
+    fs.delete(old, True)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def write_files(rows: DataFrame, path: str, name: Column, body: Column) -> None:
+    """A file of each row at path, which is replaced if it is there; rows without a name or body give none. Names must be distinct.
+
+    Executors write through the file system of path, each file under another name first.
+    """
+    records = rows.select(name.alias("name"), body.alias("body")).filter("name is not null and body is not null")
+    folder = path.removeprefix("file://").removeprefix("file:")
+
+    def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        where, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        where.create_dir(root, recursive=True)
+        for b in parts:
+            for to, text in zip(b["name"], b["body"]):
+                aside = f"{root}/.{uuid.uuid4().hex}"
+                with where.open_output_stream(aside) as f:
+                    f.write(text.encode())
+                where.move(aside, f"{root}/{to}")
+            yield b[["name"]]
+
+    records.mapInPandas(write, "name string").write.format("noop").mode("overwrite").save()
 
 
 def write_json_files(rows: DataFrame, path: str, slug: str = "slug") -> None:
-    """One folder a slug with its record as JSON."""
-    rows.write.mode("overwrite").partitionBy(slug).option("ignoreNullFields", False).json(path)
+    """One file <slug>.json with the record, all its fields, for each slug; rows without a slug are left out. Slugs must be distinct (files_by_slug)."""
+    record = F.to_json(F.struct(*[c for c in rows.columns if c != slug]), {"ignoreNullFields": "false", "pretty": "true"})
+    write_files(rows, path, F.concat(F.col(slug), F.lit(".json")), record)
 
 
 def append_jsonl(rows: DataFrame, path: str) -> None:
@@ -97,9 +147,20 @@ def append_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").option("ignoreNullFields", False).json(path)
 
 
-def append_log_rows(rows: DataFrame, path: str) -> None:
-    """Log rows (timestamp, query, response, other_logs) for a sheet, as CSV."""
-    rows.select("timestamp", "query", "response", "other_logs").write.mode("append").option("escape", '"').csv(path)
+def csv_sheet(path: str) -> Callable[[DataFrame], None]:
+    """A sheet kept as CSV files."""
+    return lambda rows: rows.write.mode("append").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+
+
+def append_log_rows(rows: DataFrame, sheet: Callable[[DataFrame], None]) -> str | None:
+    """Appends the log rows (timestamp, query, response, other_logs; '' for what is null or missing) by a pluggable sheet writer. Its
+    error does not stop the caller: it is returned as text, null if all went well."""
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in rows.columns else F.lit("").alias(c) for c in ("timestamp", "query", "response", "other_logs")]
+    try:
+        sheet(rows.select(*fields))
+    except Exception as e:
+        return str(e)
+    return None
 
 
 def notify(subject: str, body: str, send, fallback: str) -> bool:

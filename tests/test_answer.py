@@ -41,10 +41,10 @@ def test_answers(spark):
     req = spark.createDataFrame([(1, "q1", "A", None, "t"), (2, "q2", "A", [(True, "x", None)], "t"), (3, "boom", "A", None, "t")], "query_id long, query string, city string, conversation_context array<struct<fromMe:boolean,text:string,timestamp:string>>, timestamp string")
     hits = spark.createDataFrame([(2, 2, "second", "T2", "b2", "u"), (2, 1, "first", "T1", "b1", "u"), (3, 1, "x", "T", "b", "u"), (2, 3, "", "T3", "b3", "u")], "query_id long, rank int, chunk_text string, bylaw_title string, bylaw_id string, url string")
 
-    def model(prompt):
+    def model(prompt, settings):
         if "boom" in prompt:
             raise RuntimeError("busy")
-        return answer.extractive(prompt)
+        return answer.extractive(prompt, settings)
 
     got = {r.query_id: r.response for r in answer.answer(req, hits, F.lit("2024-02-03").cast("date"), model).collect()}
     assert got[1].status == "degraded" and got[1].retrieved_sources == [] and got[1].message == answer.STORE_DOWN
@@ -85,3 +85,37 @@ def test_embedding(spark):
 def test_config():
     c = config.parse(config.IngestConfig, ["--chunk", "500"], {"CW_CITY": "A"})
     assert (c.chunk, c.overlap, c.city, c.batch) == (500, 150, "A", 64)
+
+
+def test_top_k_in_blocks(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(400, 8)).round(2)
+    v[20] = v[21] = v[22]
+    rows = [(i, "a" if i % 3 else "b", [float(x) for x in r]) for i, r in enumerate(v)] + [(2000, None, [1.0] * 8), (7, "a", [float(x) for x in v[7]])]
+    df = spark.createDataFrame(rows, "id long, g string, v array<double>").repartition(3)
+    ask = df.dropDuplicates(["id"])
+    run = lambda **kw: {(r.query_id, r.id, r.score, r["rank"]) for r in search.top_k(df, ask, id_col="id", vec_col="v", query_id="id", query_vec="v", dim=8, k=4, exclude_self=True, **kw).collect()}
+    assert run(group="g", block_bytes=64 * 50, block_rows=70) == run(group="g")
+    assert run(block_bytes=64 * 50, block_rows=70) == run()
+    assert {r[0] for r in run(group="g")} == set(range(400)) and {r[0] for r in run()} == set(range(400)) | {2000}
+
+
+def test_large_ids_stay_apart(spark):
+    df = spark.createDataFrame([(2**60, [1.0, 0.0]), (2**60 + 1, [1.0, 0.0]), (1, [1.0, 0.1])], "id long, v array<double>")
+    got = search.top_k(df, df.filter("id = 1"), id_col="id", vec_col="v", query_id="id", query_vec="v", dim=2, k=4, exclude_self=True).collect()
+    assert {r.id for r in got} == {2**60, 2**60 + 1}
+
+
+def test_serve(spark):
+    bodies = ['{"query": "q", "city": "A"}', '{"query": " ", "city": "A"}', '{"query": "", "city": "B"}', "no json", '{"query": "none", "city": "A"}']
+    req = loaders.decode_requests(spark.createDataFrame(list(enumerate(bodies)), "query_id long, b string"), "b")
+    reg = spark.createDataFrame([("A", "chunks_a")], "city string, collection string")
+    hits = spark.createDataFrame([(0, 1, "text", "T", "b", "u")], "query_id long, rank int, chunk_text string, bylaw_title string, bylaw_id string, url string")
+    asked = []
+    replies, log = answer.serve(req, reg, lambda valid: asked.append(sorted(r.query_id for r in valid.collect())) or hits, F.lit("2024-02-03").cast("date"))
+    got = {r.query_id: (r.http_status, r.body) for r in replies.collect()}
+    assert [got[i][0] for i in range(5)] == [200, 400, 400, 400, 200] and asked == [[0, 4]]
+    assert "Missing" in got[1][1] and "City Not found" in got[2][1] and "JSON" in got[3][1] and '"degraded"' in got[4][1]
+    assert {(r.query_id, r.status, r.query) for r in log.collect()} == {(0, None, "q"), (4, "degraded", None)}
+    empty, nothing = answer.serve(req.limit(0), reg, lambda _: hits, F.lit("2024-02-03").cast("date"))
+    assert empty.count() == 0 and nothing.count() == 0

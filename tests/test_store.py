@@ -45,8 +45,10 @@ def test_changes_of_all_snapshots(spark, data):
     want = [(2, "u1", "unchanged"), (2, "u2", "missing"), (2, "u3", "new"), (4, "u1", "changed"), (4, "u2", "new"), (4, "u3", "missing")]
     assert rows(store.detect_all_changes(s), "snapshot_no", "url", "state") == want
     assert store.detect_all_changes(s.filter("snapshot_no = 1")).count() == 0 and store.detect_all_changes(s.limit(0)).count() == 0
-    got = queries.change_detection_all(spark, data)
-    assert rows(got.filter("snapshot_no = 2"), "url", "state", "changed") == rows(queries.change_detection(spark, data), "url", "state", "changed")
+    got = queries.change_detection(spark, data)
+    s = spark.read.parquet(f"{data}/bylaw_snapshots.parquet")
+    two = store.detect_changes(s.filter("snapshot_no = 1"), s.filter("snapshot_no = 2"), "url", "content_sha256")
+    assert rows(got.filter("snapshot_no = 2"), "url", "state", "changed") == rows(two, "url", "state", "changed")
     assert rows(got.select("snapshot_no").distinct(), "snapshot_no") == [(2,), (3,), (4,), (5,), (6,)]
 
 
@@ -191,3 +193,71 @@ def test_materialized_tables_are_read_back(spark):
 
     df = materialize(spark.range(5).withColumn("x", F.array(F.col("id"))))
     assert rows(df, "id") == [(i,) for i in range(5)] and "MapInArrow" not in df._jdf.queryExecution().toString()
+
+
+def test_swap_survives_a_break(spark, tmp_path):
+    p = str(tmp_path / "t")
+    spark.range(3).write.parquet(p + ".last")  # a swap that ended between its two renames
+    store.recover(spark, p)
+    assert rows(store.swap(spark.read.parquet(p).filter("id > 0"), p), "id") == [(1,), (2,)]
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["t"]
+
+
+def test_sheet_errors_are_told(spark, tmp_path):
+    df = spark.createDataFrame([("t", "q,\"\n", None)], "timestamp string, query string, response string")
+
+    def down(_):
+        raise OSError("down")
+
+    assert store.append_log_rows(df, down) == "down"
+    assert store.append_log_rows(df, store.csv_sheet(str(tmp_path / "s"))) is None
+
+
+def test_bitmaps_sparse_and_dense():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    sets = [np.sort(rng.choice(snapshots.BLOCK, n, replace=False)) for n in (0, 5, 200, 300, 3000, snapshots.BLOCK)]
+    assert {snapshots.Bitmap(s).sparse for s in sets} == {True, False}
+    for a in sets:
+        for b in sets:
+            x, y = snapshots.Bitmap(a), snapshots.Bitmap(b)
+            assert x.and_not(y).tolist() == np.setdiff1d(a, b).tolist() and x.both(y).tolist() == np.intersect1d(a, b).tolist()
+
+
+def test_numbers_with_gaps_and_stored_ordinals(spark, tmp_path):
+    day = "2024-01-01T00:00:00Z"
+    r = lambda s, u, h: (s, None, u, None, h, day, 200)
+    df = spark.createDataFrame([r(20240101, "a.example/x", "1"), r(20240101, "a.example/y", "1"), r(20240301, "a.example/x", "2"), r(20250101, "a.example/y", "1")], SNAP)
+    path = str(tmp_path / "ordinals")
+    first = snapshots.snapshot_changes(df.filter("snapshot_no < 20240201"), path)
+    assert first.count() == 0
+    kept = dict(rows(spark.read.parquet(path), "url", "ordinal"))
+    got = {(x.snapshot_no, x.url[18:], x.change) for x in snapshots.snapshot_changes(df.unionByName(spark.createDataFrame([r(20250101, "a.example/z", "1")], SNAP)), path).collect()}
+    assert got == {(20240301, "x", "changed"), (20240301, "y", "removed"), (20250101, "x", "removed"), (20250101, "y", "added"), (20250101, "z", "added")}
+    after = rows(spark.read.parquet(path), "url", "ordinal")
+    assert len(after) == 3 and set(kept.items()) <= set(after)
+
+
+def test_no_temporary_folder_on_a_cluster(spark, monkeypatch):
+    import pytest
+
+    from clausewright import runtime
+
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(RuntimeError):
+        runtime.shared_dir(Session())
+    path = runtime.new_folder(spark)
+    at = runtime.written()
+    df = runtime.materialize(spark.range(3))
+    assert df.count() == 3
+    runtime.release(spark, at)
+    import os
+
+    assert runtime.written() == at and path not in os.listdir(runtime.shared_dir(spark))
