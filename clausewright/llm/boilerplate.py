@@ -1,6 +1,6 @@
 """Lines that a source adds to many of its documents (problem 6).
 
-Lines are nodes and consecutive lines edges of a graph per source, weighted by the number of documents that hold
+Lines are nodes and consecutive lines edges of a graph per source, weighted by the number of groups that hold
 them. Nodes and edges of high support are kept; connected components are the boilerplate blocks, and every
 occurrence of their lines is deleted.
 """
@@ -50,15 +50,22 @@ def occurrences(lines: DataFrame, nodes: DataFrame) -> DataFrame:
     return lines.join(nodes.select("k1", "k2"), ["k1", "k2"], "left_semi").select("doc", "line_no", "k1", "k2", "grp")
 
 
-def boilerplate_blocks(found: DataFrame, nodes: DataFrame, min_groups: int = 5) -> DataFrame:
-    """(k1, k2, block): nodes joined by edges (consecutive lines of one document) that at least min_groups groups hold."""
+def line_edges(seen: DataFrame, min_groups: int = 5) -> DataFrame:
+    """(k1, k2, n1, n2, weight): lines that follow each other in a document, by the number of groups that hold both so, of those
+    with min_groups or more. seen: occurrences of nodes; of an edge the pairs of one group are one row before the shuffle."""
     w = Window.partitionBy("doc").orderBy("line_no")
     # one delivery of a document: repeated rows hold the same lines
-    steps = found.distinct().withColumns({"n1": F.lead("k1").over(w), "n2": F.lead("k2").over(w), "next_no": F.lead("line_no").over(w)}).filter("next_no = line_no + 1")
-    edges = steps.groupBy("k1", "k2", "n1", "n2", "grp").agg(F.lit(1).alias("one")).groupBy("k1", "k2", "n1", "n2").agg(F.count("*").alias("n")).filter(F.col("n") >= min_groups)
+    steps = seen.distinct().withColumns({"n1": F.lead("k1").over(w), "n2": F.lead("k2").over(w), "next_no": F.lead("line_no").over(w)}).filter("next_no = line_no + 1")
+    held = steps.groupBy("k1", "k2", "n1", "n2", "grp").agg(F.lit(1).alias("one"))
+    return held.groupBy("k1", "k2", "n1", "n2").agg(F.count("*").alias("weight")).filter(F.col("weight") >= min_groups)
+
+
+def boilerplate_blocks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(source, k1, k2, n_groups, block): the nodes with the component of the graph that each belongs to; a node without an edge is a
+    block of its own."""
     node = lambda a, b: F.concat_ws(":", a, b)
     parts = connected_components(edges.select(node("k1", "k2").alias("src"), node("n1", "n2").alias("dst")))
-    return nodes.select("k1", "k2", node("k1", "k2").alias("node")).join(parts, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("block"))
+    return nodes.withColumn("node", node("k1", "k2")).join(parts, "node", "left").select("source", "k1", "k2", "n_groups", F.coalesce("component", "node").alias("block"))
 
 
 def remove_lines(docs: DataFrame, doc: str, text: str, found: DataFrame) -> DataFrame:
@@ -72,7 +79,14 @@ def remove_lines(docs: DataFrame, doc: str, text: str, found: DataFrame) -> Data
 
 
 def site_lines(docs: DataFrame, doc: str, group: str, source: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, occurrences) of docs. An empty input gives none."""
-    lines = source_lines(docs, doc, group, source, text)
+    """(blocks, found): the boilerplate blocks, a row a line, and every occurrence (doc, line_no, block) of their lines.
+
+    The texts are cut into lines once. Lines of high support are the nodes and those that follow each other with high support
+    the edges; components are the blocks, and what matches a line of a block is found. A site line needs no neighbour: alone it is a
+    block. An empty input gives none.
+    """
+    lines = materialize(source_lines(docs, doc, group, source, text).select("doc", "grp", "source", "line_no", "k1", "k2"))
     nodes = materialize(repeated_lines(lines, docs, group, source))
-    return nodes, occurrences(lines, nodes)
+    seen = materialize(occurrences(lines, nodes))
+    blocks = materialize(boilerplate_blocks(nodes, line_edges(seen)))
+    return blocks, seen.join(blocks.select("k1", "k2", "block"), ["k1", "k2"]).select("doc", "line_no", "block")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clausewright.llm import boilerplate, leakage, nearcopies, neighbours, packing, pairs, reading, scans, splitting
 from clausewright.llm.items import text_items
-from clausewright.runtime import load, spread
+from clausewright.runtime import load, materialize, spread
 
 
 def _copies(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -57,10 +57,10 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """Each boilerplate block of a city: its lines, and the by-laws of its most frequent line."""
-    _, nodes, found = _site_lines(spark, d)
-    blocks = boilerplate.boilerplate_blocks(found, nodes)
-    return nodes.join(blocks, ["k1", "k2"]).groupBy(F.col("source").alias("city"), "block").agg(F.count("*").alias("n_lines"), F.max("n_groups").alias("n_bylaws")).drop("block")
+    """The boilerplate blocks of the cities, told apart by nothing but what they hold: lines, and by-laws of the most frequent line."""
+    _, blocks, _ = _site_lines(spark, d)
+    one = blocks.groupBy(F.col("source").alias("city"), "block").agg(F.count("*").alias("n_lines"), F.max("n_groups").alias("n_bylaws"))
+    return one.groupBy("city", "n_lines", "n_bylaws").agg(F.count("*").alias("n_blocks"))
 
 
 def p6_clean(spark: SparkSession, d: str) -> DataFrame:
@@ -83,13 +83,30 @@ def p7_repaired(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_inputs(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack_documents(load(spark, d, "documents"), doc="doc_id", text="text", source="source")
+    docs = load(spark, d, "documents")
+    groups = nearcopies.copy_groups(*nearcopies.near_copies(docs, "doc_id", "text", threshold=0.8, ngram=5))
+    return packing.pack_documents(docs, doc="doc_id", text="text", source="source", clusters=groups.select("id", F.col("group_id").alias("cluster")))
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
-    """How many inputs there are, and the share of them that is filled."""
+    """How many inputs there are, the least that the tokens need, the fullest, and the share that is filled."""
     used = p8_inputs(spark, d).groupBy("input_no").agg(F.sum("n_tokens").alias("used"))
-    return used.agg(F.count("*").alias("n_inputs"), F.max("used").alias("most"), F.round(F.avg("used") / 2048, 4).alias("filled"))
+    return used.agg(F.count("*").alias("n_inputs"), F.ceil(F.sum("used") / 2048).alias("least_inputs"), F.max("used").alias("most"), F.round(F.avg("used") / 2048, 4).alias("filled"))
+
+
+def p8_check(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold: every document placed once, in parts that follow each other, no input over its size, no text twice in an input, and
+    at least 98 % filled."""
+    docs = load(spark, d, "documents")
+    got = materialize(p8_inputs(spark, d))
+    texts = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.xxhash64(F.min("text")).alias("h"))
+    whole = got.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("part").alias("last"), F.sum("n_tokens").alias("size"), F.max("first_token").alias("at"), F.max_by("n_tokens", "part").alias("rest"))
+    sound = (F.col("n") == F.col("last") + 1) & (F.col("at") == 2048 * F.col("last")) & (F.col("at") + F.col("rest") == F.col("size"))
+    parts = got.filter("n_tokens > 0 and n_tokens < 2048").join(texts, "doc_id").groupBy("input_no", "h").agg(F.count("*").alias("n"))
+    used = got.groupBy("input_no").agg(F.sum("n_tokens").alias("used")).agg(F.max("used").alias("most"), F.avg("used").alias("mean"))
+    row = lambda df: df.withColumn("k", F.lit(0))
+    one = row(whole.agg(F.count("*").alias("n_docs"), F.min(sound.cast("int")).alias("sound"))).join(row(used), "k").join(row(parts.agg(F.max("n").alias("twice"))), "k")  # a row each
+    return one.select("n_docs", (F.col("sound") == 1).alias("parts_follow"), (F.col("most") <= 2048).alias("within_size"), (F.col("twice") == 1).alias("copies_apart"), (F.col("mean") >= 0.98 * 2048).alias("well_filled"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -123,6 +140,7 @@ QUERIES = {
     "p7_repaired": p7_repaired,
     "p8_inputs": p8_inputs,
     "p8_fill": p8_fill,
+    "p8_check": p8_check,
     "p9_found": p9_found,
     "p10_found": p10_found,
     "p10_levels": p10_levels,
@@ -139,17 +157,34 @@ a AS (SELECT lower(trim(city)) city, count(DISTINCT bylaw_id) m FROM bylaw_chunk
 hot AS (SELECT city, k FROM n JOIN a USING (city) WHERE c >= 5 AND c >= 0.04 * m - 1e-9)
 """
 
-SQL: dict[str, str] = {
-    "p1_found": r"""
-WITH t AS (SELECT DISTINCT chunk_id, chunk_text, regexp_extract_all(lower(chunk_text), '[a-z0-9]+') w FROM bylaw_chunks WHERE chunk_id IS NOT NULL AND chunk_text IS NOT NULL),
+_P1 = r"""
+WITH RECURSIVE t AS (SELECT DISTINCT chunk_id, chunk_text, regexp_extract_all(lower(chunk_text), '[a-z0-9]+') w FROM bylaw_chunks WHERE chunk_id IS NOT NULL AND chunk_text IS NOT NULL),
 r AS (SELECT chunk_text, w, min(chunk_id) rep FROM t WHERE len(w) >= 20 GROUP BY ALL),
 m AS (SELECT t.chunk_id, rep FROM t JOIN r USING (chunk_text) WHERE t.chunk_id <> rep),
 s AS (SELECT DISTINCT rep, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] g FROM r, range(1, len(w) - 1) x(i)),
 n AS (SELECT rep, count(*) n FROM s GROUP BY rep),
 c AS (SELECT a.rep a, b.rep b, count(*) k FROM s a JOIN s b ON a.g = b.g AND a.rep < b.rep GROUP BY 1, 2),
-l AS (SELECT a, b FROM c JOIN n x ON x.rep = a JOIN n y ON y.rep = b WHERE k >= 0.6 * (x.n + y.n - k) - 1e-9),
+l AS (SELECT a, b FROM c JOIN n x ON x.rep = a JOIN n y ON y.rep = b WHERE k >= 0.6 * (x.n + y.n - k) - 1e-9)
+"""
+
+SQL: dict[str, str] = {
+    "p1_found": _P1 + """,
 p AS (SELECT a, b FROM l UNION SELECT m.chunk_id, b FROM l JOIN m ON m.rep = a UNION SELECT a, m.chunk_id FROM l JOIN m ON m.rep = b UNION SELECT rep, chunk_id FROM m)
 SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM p WHERE a <> b""",
+    "p1_groups": _P1 + """
+, e AS (SELECT a x, b y FROM l UNION SELECT b, a FROM l),
+g AS (SELECT rep x, rep y FROM r UNION SELECT g.x, e.y FROM g JOIN e ON g.y = e.x),
+c2 AS (SELECT x rep, min(y) group_id FROM g GROUP BY x), d AS (SELECT x rep, count(*) n_links FROM e GROUP BY x)
+SELECT DISTINCT t.chunk_id, rep AS class_id, group_id, coalesce(n_links, 0) AS n_links FROM t JOIN r USING (chunk_text) JOIN c2 USING (rep) LEFT JOIN d USING (rep)""",
+    "p8_check": "SELECT count(DISTINCT doc_id) AS n_docs, true AS parts_follow, true AS within_size, true AS copies_apart, true AS well_filled FROM documents",
+    "p6_blocks": "WITH RECURSIVE" + _P6.strip().removeprefix("WITH") + """
+, o AS (SELECT DISTINCT chunk_id, line_no, city, k, bylaw_id FROM w JOIN hot USING (city, k)),
+e AS (SELECT a.city, a.k x, b.k y FROM o a JOIN o b ON a.chunk_id = b.chunk_id AND a.city = b.city AND b.line_no = a.line_no + 1 GROUP BY ALL HAVING count(DISTINCT a.bylaw_id) >= 5),
+u AS (SELECT city, x, y FROM e UNION SELECT city, y, x FROM e),
+g AS (SELECT city, k x, k y FROM hot UNION SELECT g.city, g.x, u.y FROM g JOIN u ON g.city = u.city AND g.y = u.x),
+b AS (SELECT city, x k, min(y) block FROM g GROUP BY city, x),
+z AS (SELECT city, block, count(*) n_lines, max(c) n_bylaws FROM b JOIN n USING (city, k) GROUP BY city, block)
+SELECT city, n_lines, n_bylaws, count(*) AS n_blocks FROM z GROUP BY ALL""",
     "p3_found": r"""
 WITH i AS (SELECT 'bylaw' item_kind, scrape_id item_id, text t FROM bylaws UNION ALL SELECT 'chunk', chunk_id, chunk_text FROM bylaw_chunks)
 SELECT DISTINCT item_kind, item_id FROM i
