@@ -1,8 +1,8 @@
 """The k most similar vectors of every vector (problem 4): a permutation index.
 
-A vector is represented by its eight nearest pivots. It is in the inverted files of all pairs among them; the files of
-the pairs with the same smaller pivot travel together as a unit, so a vector is sent at most seven times. Within a file
-all vectors are compared by cosine: nothing that meets is lost to a rerank.
+A vector is represented by the order of its eight nearest pivots. It is in the inverted files of all pairs among them; the
+files of the pairs with the same smaller pivot travel together as a unit, so a vector is sent at most seven times. Within a
+file the footrule distance of the orders ranks the others, and all within a radius, however many, are reranked by cosine.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from clausewright.runtime import materialize, spread
 
 PERM = 8
+#: Footrule distance (two orders that share no pivot have PERM * (PERM + 1)) up to which others are reranked.
+RADIUS = 62
 #: Rows of a unit at most; a longer one is cut into blocks of half of it, each pair of blocks a unit of its own.
 UNIT = 65_536
 #: Similarities held at once.
@@ -83,8 +85,8 @@ def _poster(pivots: np.ndarray, blocks: dict[int, int] | None = None):
                 v = np.frombuffer(b"".join(b.column("vec").to_pylist()), np.float32).reshape(b.num_rows, -1)
                 dots = v @ pivots.T
                 near = np.argpartition(-dots, depth - 1, axis=1)[:, :depth] if depth < n else np.tile(np.arange(n), (len(v), 1))
-                near = np.sort(near, axis=1)
-                under = near[:, : max(1, depth - 1)]
+                near = np.take_along_axis(near, np.argsort(-np.take_along_axis(dots, near, 1), axis=1, kind="stable"), 1)
+                under = np.sort(near, axis=1)[:, : max(1, depth - 1)]
                 if blocks is None:
                     yield pa.record_batch([pa.array(under.ravel().astype(np.int32))], names=["pivot"])
                     continue
@@ -100,26 +102,34 @@ def _poster(pivots: np.ndarray, blocks: dict[int, int] | None = None):
     return post
 
 
-def _footrule(perm: np.ndarray) -> np.ndarray:
-    """Footrule distances of all pairs of truncated orders, up to a constant a column."""
+def _weights(perm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(weight of each pivot of these orders in each of them, the orders in these pivots): the nearest pivot weighs as much as the order
+    is long, the last one 1, others 0."""
     depth = perm.shape[1]
     pivots, local = np.unique(perm, return_inverse=True)
     local = local.reshape(perm.shape)
-    place = np.full((len(pivots), len(perm)), depth, np.int16)
-    np.put_along_axis(place.T, local, np.arange(depth, dtype=np.int16)[None, :], 1)
-    d = np.zeros((len(perm), len(perm)), np.int16)
+    weight = np.zeros((len(pivots), len(perm)), np.uint8)
+    np.put_along_axis(weight.T, local, np.arange(depth, 0, -1, dtype=np.uint8)[None, :], 1)
+    return weight, local
+
+
+def _footrule(weight: np.ndarray, orders: np.ndarray) -> np.ndarray:
+    """Footrule distance of each of the orders to all of those weighed; a pivot that an order lacks stands behind its end."""
+    depth = orders.shape[1]
+    shared = np.zeros((len(orders), weight.shape[1]), np.uint8)
     for i in range(depth):
-        theirs = place[local[:, i]]
-        d += np.abs(theirs - i) + theirs
-    return d
+        shared += np.minimum(weight[orders[:, i]], np.uint8(depth - i))
+    return depth * (depth + 1) - 2 * shared.astype(np.int16)
 
 
-def _top_of(v: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, other row, similarity): the k best others of each row, of those from least on."""
+def _top_of(v: np.ndarray, perm: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, other row, similarity): the k best others of each row within RADIUS, of those from least on."""
     n, out = len(v), []
     step = max(1, CELLS // n)
+    weight, orders = _weights(perm)
     for at in range(0, n, step):
         sims = v[at : at + step] @ v.T
+        sims[_footrule(weight, orders[at : at + step]) > RADIUS] = -2
         rows = np.arange(len(sims))
         sims[rows, rows + at] = -2
         if n > k:
@@ -134,15 +144,15 @@ def _top_of(v: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray
 
 def _best(pivot: int, ids: np.ndarray, v: np.ndarray, perm: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(id, other, similarity) of a unit: the k best of each row over the files of the pairs of pivot with a larger one.
-    Where these files together ask for more comparisons than the unit has pairs, the unit is compared whole."""
+    Where these files together ask for more comparisons than the unit has pairs, the unit is ranked as one file."""
     rows, place = np.nonzero(perm > pivot)
     order = np.argsort(perm[rows, place], kind="stable")
     second, rows = perm[rows, place][order], rows[order]
     cuts = np.flatnonzero(np.diff(second, prepend=-1, append=-1))
     if not len(rows) or (np.diff(cuts).astype(float) ** 2).sum() >= float(len(ids)) ** 2:
-        q, c, sims = _top_of(v, k, least)
+        q, c, sims = _top_of(v, perm, k, least)
     else:
-        parts = [(f[q], f[c], sims) for s, e in zip(cuts[:-1], cuts[1:]) if e - s > 1 for f in [rows[s:e]] for q, c, sims in [_top_of(v[f], k, least)]]
+        parts = [(f[q], f[c], sims) for s, e in zip(cuts[:-1], cuts[1:]) if e - s > 1 for f in [rows[s:e]] for q, c, sims in [_top_of(v[f], perm[f], k, least)]]
         if not parts:
             return ids[:0], ids[:0], v[:0, 0]
         q, c, sims = (np.concatenate(x) for x in zip(*parts))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clausewright.llm import boilerplate, leakage, nearcopies, neighbours, packing, pairs, reading, scans, splitting
 from clausewright.llm.items import text_items
+from clausewright.operators import search
 from clausewright.runtime import load, materialize, spread
 
 
@@ -41,6 +42,18 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("id", "other").alias("chunk_id_a"), F.greatest("id", "other").alias("chunk_id_b")).distinct()
 
 
+def p4_recall(spark: SparkSession, d: str) -> DataFrame:
+    """The five neighbours of every chunk whose id is divisible by 50 against exact search over all vectors: is at least 0.9 found?"""
+    rows = load(spark, d, "bylaw_chunks").select("chunk_id", F.col("chunk_embedding").cast("array<double>").alias("v"))
+    usable = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
+    asked = rows.filter("chunk_id % 50 = 0 and size(v) = 64").filter(usable).dropDuplicates(["chunk_id"])
+    exact = search.top_k(spread(rows), asked, id_col="chunk_id", vec_col="v", query_id="chunk_id", query_vec="v", dim=64, k=5, exclude_self=True)
+    bar = exact.groupBy("query_id").agg(F.min("score").alias("fifth"), F.count("*").alias("n"))
+    near = neighbours.similar_vectors(load(spark, d, "bylaw_chunks"), "chunk_id", "chunk_embedding", dim=64, k=5).filter("id % 50 = 0")
+    met = bar.join(near, bar.query_id == near.id, "left").groupBy("query_id").agg(F.max("n").alias("n"), F.count(F.when(F.col("similarity") >= F.col("fifth") - 1e-5, 1)).alias("met"))
+    return met.agg(F.count("*").alias("n_queries"), (F.sum(F.least("met", "n")) >= 0.9 * F.sum("n")).alias("reached"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     broken = pairs.broken_pairs(load(spark, d, "query_log"), id_col="log_id", query="query", response="ai_response", status="status")
     return broken.withColumnRenamed("id", "log_id")
@@ -132,6 +145,7 @@ QUERIES = {
     "p3_pieces": p3_pieces,
     "p4_found": p4_found,
     "p4_neighbours": p4_neighbours,
+    "p4_recall": p4_recall,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_blocks": p6_blocks,
@@ -176,6 +190,9 @@ SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM p W
 g AS (SELECT rep x, rep y FROM r UNION SELECT g.x, e.y FROM g JOIN e ON g.y = e.x),
 c2 AS (SELECT x rep, min(y) group_id FROM g GROUP BY x), d AS (SELECT x rep, count(*) n_links FROM e GROUP BY x)
 SELECT DISTINCT t.chunk_id, rep AS class_id, group_id, coalesce(n_links, 0) AS n_links FROM t JOIN r USING (chunk_text) JOIN c2 USING (rep) LEFT JOIN d USING (rep)""",
+    "p4_recall": """
+SELECT count(DISTINCT chunk_id) AS n_queries, true AS reached FROM bylaw_chunks WHERE chunk_id % 50 = 0 AND len(chunk_embedding) = 64
+  AND len(list_filter(chunk_embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(chunk_embedding, lambda x: x <> 0)) > 0""",
     "p8_check": "SELECT count(DISTINCT doc_id) AS n_docs, true AS parts_follow, true AS within_size, true AS copies_apart, true AS well_filled FROM documents",
     "p6_blocks": "WITH RECURSIVE" + _P6.strip().removeprefix("WITH") + """
 , o AS (SELECT DISTINCT chunk_id, line_no, city, k, bylaw_id FROM w JOIN hot USING (city, k)),

@@ -397,15 +397,28 @@ def test_nothing_else_imports_this_subpackage():
 
 def test_footrule_is_the_distance_of_truncated_orders():
     rng = np.random.default_rng(8)
-    perm = np.array([rng.permutation(12)[:5] for _ in range(30)])
-    d = neighbours._footrule(perm)
+    perm = np.array([rng.permutation(12)[:5] for _ in range(30)]) * 7
+    d = neighbours._footrule(*neighbours._weights(perm))
 
     def brute(a, b):
         place = lambda x, p: int(np.flatnonzero(x == p)[0]) if p in x else 5
         return sum(abs(place(a, p) - place(b, p)) for p in set(a) | set(b))
 
-    want = np.array([[brute(a, b) for b in perm] for a in perm])
-    assert len(np.unique(d - want)) == 1
+    assert (d == np.array([[brute(a, b) for b in perm] for a in perm])).all()
+
+
+def test_neighbours_do_not_depend_on_the_partitions(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(rng.normal(size=(600, 16)))]
+    df = spark.createDataFrame(rows, "vid long, v array<double>")
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (3, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            got.append({(r.id, r.other) for r in neighbours.similar_vectors(df.repartition(n), "vid", "v", dim=16, k=5).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1] and len(got[0]) == 3000
 
 
 def test_levels_have_increasing_bounds():
