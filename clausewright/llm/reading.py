@@ -1,16 +1,18 @@
-"""Reading level of documents (problem 10): a latent difficulty model.
+"""Reading level of documents (problem 10): a Rasch Poisson counts model with a latent difficulty.
 
-As in a Rasch model, documents and words stand on one scale: a document has a level, a word occurrence a difficulty,
-and how likely they go together depends on their distance only. Levels and difficulties are estimated in turn, anchored
-at the labelled documents: a word's difficulty is the mean level of its occurrences and its weight the inverse of
-their spread; a sentence's level is the weighted mean of its words' difficulties, and a document's level that of the
-sentence in the middle of its text, so that the bulk of the text decides.
+A document has a level, and how often a word occurs in it is a Poisson count whose rate depends on the level: log-quadratic
+in it, so that a word has a difficulty where it is most at home and falls off with the distance. Levels and word parameters are
+estimated in turn by maximum likelihood, anchored at the labelled documents, until the levels stay. A sentence has a level of its
+own; a document's is that of the sentences in the middle half of its words, so that the bulk of the text decides.
+
+Words are hashed into a fixed number of buckets, so that the parameters, and all that is sent to the tasks or collected, have a size that
+does not depend on the data. The occurrences themselves are never shuffled: a round is one pass over the documents, from which each
+task sends its counts by bucket and level.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,141 +21,210 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewright.llm.pairs import language
+from clausewright.llm.pairs import LANGUAGES
 from clausewright.runtime import arrow_batches, materialize
 
 WORD = re.compile(r"[a-z0-9]+")
 SENTENCE = re.compile(r"(?<=[.!?;])\s+|\n+")
-PRIOR_VAR, PRIOR_N, CENTRE = 0.4, 3.0, 3.0
-BLOCK_WORDS = 500_000
+TOKEN = re.compile(r"[^\W_]+|\x00")
+BUCKETS = 1 << 18
+#: Buckets at the end that stand for sentence lengths and mean word lengths; each counts three times a sentence.
+LENGTHS, LETTERS, TIMES = 16, 48, 3
+WORDS = BUCKETS - LENGTHS - LETTERS
+GRID = np.arange(1, 5.01, 0.25)
+CENTRE = 3.0
+#: Weight of the prior that a word is as frequent at all levels, and the levels' prior spread over a sentence.
+RIDGE, STEPS = 1.0, 12
 BATCH_DOCS = 1000
-OCC = "array<struct<s:int,w:bigint,n:int>>"
+_TONGUES = sorted(LANGUAGES)
 
 
-def features(sentence: list[str]) -> list[str]:
-    """Words with their digits dropped, neighbouring pairs, and the sentence's and the words' lengths as further occurrences."""
-    words = [w for w in (w.strip("0123456789") for w in sentence) if w]
-    mean = sum(map(len, words)) / max(1, len(words))
-    return [*words, *(f"{a} {b}" for a, b in zip(words, words[1:])), *[f"#words {min(60, len(words)) // 4}"] * 3, *[f"#letters {int(mean * 2)}"] * 3]
+def _bucket(word: str) -> int:
+    """The bucket of a word without its digits, -1 for a number."""
+    w = word.strip("0123456789")
+    return xxhash.xxh3_64_intdigest(w) % WORDS if w else -1
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as buckets: for each document the buckets of its words, and of its sentences how many words and letters."""
     for whole in batches:
         for at in range(0, whole.num_rows, 500):
             b = whole.slice(at, 500)
-            size, english = [], []
-            sent, word, count, ends, lens, stops = [], [], [], [0], [], [0]
-            for text in b.column("text").to_pylist():
-                text = text or ""
-                size.append(len(WORD.findall(text.lower())))
-                english.append(language(text)[0] == "en")
-                k = 0
-                for sentence in SENTENCE.split(text):
-                    words = WORD.findall(sentence.lower())
-                    if words:
-                        for w, n in Counter(features(words)).items():
-                            sent.append(k)
-                            word.append(xxhash.xxh64_intdigest(w) - (1 << 63))
-                            count.append(n)
-                        lens.append(len(words))
-                        k += 1
-                ends.append(len(sent))
-                stops.append(len(lens))
-            occ = pa.StructArray.from_arrays([pa.array(sent, pa.int32()), pa.array(word, pa.int64()), pa.array(count, pa.int32())], names=["s", "w", "n"])
+            lows = [(t or "").lower().replace("\x00", " ") for t in b.column("text").to_pylist()]
+            parts = [TOKEN.findall(SENTENCE.sub("\x00", t) + "\x00") for t in lows]
+            n_words = [len(WORD.findall(t)) for t in lows]
+            flat = [w for p in parts for w in p]
+            vocabulary = {w: i for i, w in enumerate(dict.fromkeys(flat))}
+            names = list(vocabulary)
+            ids = np.fromiter(map(vocabulary.__getitem__, flat), np.int64, len(flat))
+            doc = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+            english = np.zeros((len(parts), len(_TONGUES)))
+            for k, tongue in enumerate(_TONGUES):
+                spoken = np.fromiter((w in LANGUAGES[tongue] for w in names), float, len(names))
+                english[:, k] = np.bincount(doc, spoken[ids], len(parts))
+            own = _TONGUES.index("en")
+            is_english = english[:, own] > np.delete(english, own, 1).max(axis=1)
+            bucket = np.fromiter((-2 if w == "\x00" else _bucket(w) for w in names), np.int64, len(names))[ids]
+            letters = np.fromiter((len(w.strip("0123456789")) for w in names), np.int64, len(names))[ids]
+            sentence = np.cumsum(bucket == -2) - (bucket == -2)
+            sentence_doc = doc[bucket == -2]
+            is_word = bucket >= 0
+            size = np.bincount(sentence[is_word], minlength=len(sentence_doc))
+            chars = np.bincount(sentence[is_word], letters[is_word], len(sentence_doc))
+            full = size > 0
+            mean = chars[full] / size[full]
+            lists = lambda values, of: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(of, minlength=len(parts)))].astype(np.int32)), pa.array(values.astype(np.int32)))
             yield pa.record_batch(
-                [b.column("doc_id"), pa.array(size, pa.int32()), pa.array(english), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), occ), pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(lens, pa.int32()))],
-                names=["doc_id", "n_words", "english", "occ", "lengths"],
-            )
-
-
-def _difficulties(docs: DataFrame, least: int) -> DataFrame:
-    """(w, b, p) from (doc_id, occ, level): difficulty and weight of each word seen `least` times."""
-    occ = docs.select("level", F.explode("occ").alias("o")).select("level", "o.w", F.col("o.n").cast("double").alias("n"))
-    sums = occ.groupBy("w").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("level")).alias("m"), F.sum(F.col("n") * F.col("level") ** 2).alias("q")).filter(F.col("n") >= least)
-    b = (F.col("m") + CENTRE * 0.5) / (F.col("n") + 0.5)
-    var = (F.col("q") - 2 * b * F.col("m") + b * b * F.col("n") + PRIOR_N * PRIOR_VAR) / (F.col("n") + PRIOR_N)
-    # a word spread evenly over the levels (variance 2) says nothing
-    return sums.select("w", b.alias("b"), F.greatest(F.lit(0.0), 1 / F.greatest(var, F.lit(0.02)) - 0.5).alias("p")).filter("p > 0")
-
-
-def _sums(batch: pa.RecordBatch, words: np.ndarray, b: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The first sentence of each document, and the sentences' weighted sums x and weights y by these words (sorted by hash)."""
-    occ, lengths = batch.column("occ"), batch.column("lengths")
-    first = np.r_[0, np.cumsum(np.diff(lengths.offsets.to_numpy()))]
-    parts = occ.flatten()
-    w = parts.field(1).to_numpy(zero_copy_only=False)
-    i = np.minimum(np.searchsorted(words, w), len(words) - 1)
-    hit = np.flatnonzero(words[i] == w)
-    i = i[hit]
-    s = (parts.field(0).to_numpy(zero_copy_only=False) + np.repeat(first[:-1], np.diff(occ.offsets.to_numpy())))[hit]
-    y = parts.field(2).to_numpy(zero_copy_only=False)[hit] * p[i]
-    return first, np.bincount(s, y * b[i], first[-1]), np.bincount(s, y, first[-1])
-
-
-def _add(words: np.ndarray, b: np.ndarray, p: np.ndarray):
-    """Adds a block of words to the sentences' x and y."""
+                [
+                    b.column("doc_id"), b.column("anchor"), pa.array(n_words, pa.int32()), pa.array(is_english),
+                    lists(bucket[is_word], doc[is_word]), lists(size[full], sentence_doc[full]), lists(np.minimum(LETTERS - 1, (mean * 2).astype(int)), sentence_doc[full]),
+                ],
+                names=["doc_id", "anchor", "n_words", "english", "words", "sizes", "letters"],
+            )
+
+
+class Model:
+    """log rate of each bucket at a level t from the centre: c + a t + b t^2."""
+
+    def __init__(self, table: np.ndarray):
+        self.table = table
+        t = GRID - CENTRE
+        self.total = np.zeros(len(t))  # the rate of all buckets together, at each level
+        for at in range(0, len(table), 1 << 16):
+            c, a, b = table[at : at + (1 << 16)].T[:, :, None].astype(np.float64)
+            self.total += np.exp(c + a * t + b * t * t).sum(axis=0)
+
+    def sentences(self, words: np.ndarray, size: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The expected level of each sentence, given all its counts, and the log likelihood there."""
+        start = np.r_[0, np.cumsum(size)[:-1]]
+        sums = np.add.reduceat(self.table[words].astype(np.float64), start, axis=0) if len(words) else np.zeros((0, 3))
+        sums += TIMES * (self.table[WORDS + np.minimum(LENGTHS - 1, size // 4)] + self.table[WORDS + LENGTHS + letters])
+        t = GRID - CENTRE
+        fit = sums[:, [0]] + sums[:, [1]] * t + sums[:, [2]] * t * t - (size + 2 * TIMES)[:, None] * self.total
+        best = fit.max(axis=1, keepdims=True)
+        weight = np.exp(fit - best)
+        return (weight @ GRID) / weight.sum(axis=1), best[:, 0]
+
+
+def _bulk(level: np.ndarray, size: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """Mean level of the sentences within the middle half of each document's words, ordered by level; NaN without words."""
+    order = np.lexsort((level, doc))
+    doc, size, level = doc[order], size[order].astype(float), level[order]
+    total = np.bincount(doc, size, n)
+    upto = np.cumsum(size) - np.r_[0, np.cumsum(total)][doc]
+    inside = np.maximum(0, np.minimum(upto, 0.75 * total[doc]) - np.maximum(upto - size, 0.25 * total[doc]))
+    with np.errstate(all="ignore"):
+        return np.bincount(doc, inside * level, n) / np.bincount(doc, inside, n)
+
+
+def _arrays(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, sizes, letters, document of each sentence) of a batch."""
+    words, size, letters = (b.column(c).flatten().to_numpy() for c in ("words", "sizes", "letters"))
+    return words, size.astype(np.int64), letters, np.repeat(np.arange(b.num_rows), np.diff(b.column("sizes").offsets.to_numpy()))
+
+
+def _levels(model: Model | None, b: pa.RecordBatch) -> tuple[np.ndarray, float]:
+    words, size, letters, doc = _arrays(b)
+    if model is None or not len(words):
+        return np.full(b.num_rows, np.nan), 0.0
+    level, fit = model.sentences(words, size, letters)
+    return _bulk(level, size, doc, b.num_rows), float(fit.sum())
+
+
+COUNTS = [f"n{i}" for i in range(len(GRID))]
+STAT = -1  # key of the row with the number of documents, the sum of the changes of level, and the log likelihood
+
+
+def _counter(now: np.ndarray | None, before: np.ndarray | None):
+    """Counts by bucket and level of one pass. A labelled document counts at its label, another one at its level by the parameters now; without
+    any it does not count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, last = (Model(x) if x is not None else None for x in (now, before))
+        counts, exposure, stat = np.zeros((BUCKETS, len(GRID)), np.float32), np.zeros(len(GRID)), np.zeros(len(GRID))
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                first, x, y = _sums(batch, words, b, p)
-                ends = pa.array(first.astype(np.int32))
-                x, y = x + batch.column("x").flatten().to_numpy(), y + batch.column("y").flatten().to_numpy()
-                yield pa.record_batch([batch.column("doc_id"), batch.column("occ"), batch.column("lengths"), pa.ListArray.from_arrays(ends, pa.array(x)), pa.ListArray.from_arrays(ends, pa.array(y))], names=["doc_id", "occ", "lengths", "x", "y"])
+                b = whole.slice(at, 500)
+                words, size, letters, doc = _arrays(b)
+                theta, fit = _levels(model, b)
+                known = ~np.isnan(theta)
+                stat[:3] += known.sum(), np.abs(theta - _levels(last, b)[0])[known].sum() if last else 0.0, fit
+                anchor = b.column("anchor").to_numpy(zero_copy_only=False)
+                theta = np.where(np.isnan(anchor), theta, anchor)
+                cell = np.where(np.isnan(theta), -1, np.rint((np.nan_to_num(theta) - GRID[0]) / (GRID[1] - GRID[0]))).astype(np.int64)
+                of_sentence = cell[doc]
+                used = of_sentence >= 0
+                for places, levels, times in (
+                    (words, np.repeat(of_sentence, size), 1), (WORDS + np.minimum(LENGTHS - 1, size // 4), of_sentence, TIMES), (WORDS + LENGTHS + letters, of_sentence, TIMES),
+                ):
+                    ok = levels >= 0
+                    np.add.at(counts.reshape(-1), places[ok] * len(GRID) + levels[ok], np.float32(times))
+                exposure += np.bincount(of_sentence[used], size[used] + 2 * TIMES, len(GRID))
+        rows = np.flatnonzero(counts.any(axis=1))
+        keys = np.r_[rows, STAT, STAT - 1]
+        values = np.concatenate([counts[rows].astype(np.float64), [stat, exposure]])
+        for at in range(0, len(keys), 20_000):
+            yield pa.record_batch([pa.array(keys[at : at + 20_000]), *(pa.array(x) for x in values[at : at + 20_000].T)], names=["bucket", *COUNTS])
 
     return run
 
 
-def _middle(words: np.ndarray, b: np.ndarray, p: np.ndarray):
-    """The last block of words, then the mean level of the sentences within the middle half of each document's words, by level."""
+def _fitter(exposure: np.ndarray):
+    """Poisson regression of each bucket's counts on level and its square, with the prior, by Newton steps."""
+    t = GRID - CENTRE
+    design = np.stack([np.ones_like(t), t, t * t], 1)
+    share = exposure / max(1.0, exposure.sum())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                first, x, y = _sums(batch, words, b, p)
-                if "x" in batch.schema.names:
-                    x, y = x + batch.column("x").flatten().to_numpy(), y + batch.column("y").flatten().to_numpy()
-                ids = batch.column("doc_id").to_numpy()
-                doc = np.repeat(np.arange(len(ids)), np.diff(first))
-                size = batch.column("lengths").flatten().to_numpy()
-                doc, size, x, y = doc[y > 0], size[y > 0].astype(float), x[y > 0], y[y > 0]
-                level = x / y
-                order = np.lexsort((level, doc))
-                doc, size, level = doc[order], size[order], level[order]
-                total = np.bincount(doc, size, len(ids))
-                upto = np.cumsum(size) - np.r_[0, np.cumsum(total)][doc]
-                inside = np.maximum(0, np.minimum(upto, 0.75 * total[doc]) - np.maximum(upto - size, 0.25 * total[doc]))
-                weight = np.bincount(doc, inside, len(ids))
-                ok = weight > 0
-                yield pa.record_batch([pa.array(ids[ok]), pa.array(np.bincount(doc, inside * level, len(ids))[ok] / weight[ok])], names=["doc_id", "theta"])
+        for b in batches:
+            if not b.num_rows:
+                continue
+            n = np.stack([b.column(c).to_numpy() for c in COUNTS], 1)
+            seen = n.sum(axis=1)
+            x = np.zeros((len(n), 3))
+            x[:, 0] = np.log(seen / exposure.sum())
+            # the prior: half an occurrence more, spread as the text is
+            n = n + 0.5 * share
+            prior = np.diag([0.0, RIDGE, RIDGE])
+            for _ in range(STEPS):
+                rate = np.exp(np.clip(x @ design.T, -40, 3)) * exposure
+                slope = (n - rate) @ design - x @ prior
+                bend = np.einsum("ng,gi,gj->nij", rate, design, design) + prior + 1e-9 * np.eye(3)
+                step = np.linalg.solve(bend, slope[:, :, None])[:, :, 0]
+                x += step * np.minimum(1.0, 1.5 / np.maximum(1e-9, np.abs(step).max(axis=1)))[:, None]
+            yield pa.record_batch([b.column("bucket"), *(pa.array(c) for c in x.T)], names=["bucket", "c", "a", "b"])
 
     return run
 
 
-def _levels(docs: DataFrame, words: DataFrame) -> DataFrame:
-    """(doc_id, theta): the level in the middle of each document's text by words; documents without known words are left out.
+def fit_words(read: DataFrame, now: np.ndarray | None, before: np.ndarray | None) -> tuple[np.ndarray | None, dict]:
+    """One round: the buckets' parameters from the counts at the levels by the parameters now, and what the pass showed. All that
+    is collected has at most BUCKETS rows."""
+    counts = read.mapInArrow(_counter(now, before), "bucket bigint, " + ", ".join(f"{c} double" for c in COUNTS))
+    counts = materialize(counts.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in COUNTS)))
+    told = {r.bucket: np.array([r[c] for c in COUNTS]) for r in counts.filter("bucket < 0").collect()}
+    exposure = told.get(STAT - 1, np.zeros(len(GRID)))
+    docs, moved, fit = told.get(STAT, np.zeros(3))[:3]
+    seen = {"docs": int(docs), "moved": moved / max(1, docs), "log_likelihood": fit}
+    if not exposure.sum():
+        return None, seen
+    fitted = counts.filter("bucket >= 0").mapInArrow(_fitter(exposure), "bucket bigint, c double, a double, b double").toArrow()
+    table = np.zeros((BUCKETS, 3), np.float32)
+    table[:, 0] = np.log(0.5 / exposure.sum())  # never seen: rare everywhere
+    table[fitted.column("bucket").to_numpy()] = np.stack([fitted.column(c).to_numpy() for c in "cab"], 1)
+    return table, seen
 
-    The words go to the documents in blocks of about BLOCK_WORDS, so nothing is shuffled and no block grows with the data.
-    """
-    n = words.count()
-    blocks = n // BLOCK_WORDS + 1
-    scored = docs.select("doc_id", "occ", "lengths")
-    if not n:
-        return scored.filter("false").select("doc_id", F.lit(0.0).alias("theta"))
-    if blocks > 1:
-        zeros = F.transform("lengths", lambda _: F.lit(0.0))
-        scored = scored.withColumns({"x": zeros, "y": zeros})
-    for i in range(blocks):
-        t = words.filter(F.pmod("w", F.lit(blocks)) == i).toPandas().sort_values("w")
-        t = t if len(t) else words.limit(1).toPandas().assign(p=0.0)
-        block = t.w.to_numpy(), t.b.to_numpy(), t.p.to_numpy()
-        if i < blocks - 1:
-            scored = scored.mapInArrow(_add(*block), f"doc_id bigint, occ {OCC}, lengths array<int>, x array<double>, y array<double>")
-        else:
-            scored = scored.mapInArrow(_middle(*block), "doc_id bigint, theta double")
-    return scored
+
+def _scorer(table: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(table)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                theta, _ = _levels(model, b)
+                yield pa.record_batch([*(b.column(c) for c in ("doc_id", "anchor", "n_words", "english")), pa.array(theta, from_pandas=True)], names=["doc_id", "anchor", "n_words", "english", "theta"])
+
+    return run
 
 
 def _cuts(theta: np.ndarray, level: np.ndarray) -> list[float]:
@@ -169,30 +240,39 @@ def _cuts(theta: np.ndarray, level: np.ndarray) -> list[float]:
     return list(np.maximum.accumulate(cuts))
 
 
-def reading_levels(docs: DataFrame, labels: DataFrame, *, doc: str, text: str, level: str, rounds: int = 2, least: int = 3, max_labels: int = 20_000) -> DataFrame:
+def reading_levels(
+    docs: DataFrame, labels: DataFrame, *, doc: str, text: str, level: str, settled: float = 0.02, max_rounds: int = 8, max_labels: int = 20_000, told: list | None = None
+) -> DataFrame:
     """(doc_id, n_words, english, theta, reading_level) of every document.
 
     labels(doc, level): levels 1 to 5; null levels are ignored, several raters' labels count with their median, labels
-    of unknown documents are ignored. Bounds between levels are fitted on at most max_labels labelled documents (those
-    of the smallest hash); the model itself is fitted on all documents. A document without words of known difficulty,
-    a null or an empty text gets the middle of the scale. Without labels every document does. Null ids are left
-    out; an id delivered again counts once, with its smallest text.
+    of unknown documents are ignored. The first parameters come from the labelled documents, those of every further round from all
+    documents, until a round moves the levels by less than `settled` on average (at most max_rounds). Bounds between levels are
+    fitted on at most max_labels labelled documents (those of the smallest hash); the model itself is fitted on all. A document
+    without words, a null or an empty text gets the middle of the scale, and so does one of none but words that no document
+    of known level shares. Without labels every document does. Null ids are left out; an id delivered again counts once, with its
+    smallest text. `told`, if given, gets what each round showed.
     """
     rows = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
-    read = materialize(rows.mapInArrow(_read, f"doc_id bigint, n_words int, english boolean, occ {OCC}, lengths array<int>"))
     anchors = labels.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(level).cast("double").alias("l")).filter("l between 1 and 5").groupBy("doc_id").agg(F.median("l").alias("anchor"))
-    anchors = materialize(anchors)
-    words = materialize(_difficulties(read.join(anchors.withColumnRenamed("anchor", "level"), "doc_id"), least))
     with arrow_batches(docs.sparkSession, BATCH_DOCS):
-        theta = materialize(_levels(read, words))
-    for _ in range(rounds - 1):
-        at = theta.join(anchors, "doc_id", "left").select("doc_id", F.coalesce("anchor", "theta").alias("level"))
-        words = materialize(_difficulties(read.filter("english").join(at, "doc_id"), least))
-        with arrow_batches(docs.sparkSession, BATCH_DOCS):
-            theta = materialize(_levels(read, words))
-    known = theta.join(anchors, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels).select("theta", "anchor").toPandas()
+        read = materialize(rows.join(anchors, "doc_id", "left").mapInArrow(_read, "doc_id bigint, anchor double, n_words int, english boolean, words array<int>, sizes array<int>, letters array<int>"))
+        now, seen = fit_words(read, None, None)
+        before = None
+        for _ in range(max_rounds if now is not None else 0):
+            fresh, seen = fit_words(read, now, before)
+            if told is not None:
+                told.append(seen)
+            stays = before is not None and seen["moved"] < settled
+            before, now = now, fresh
+            if stays:
+                break
+        if now is None:
+            graded = read.select("doc_id", "anchor", "n_words", "english", F.lit(None).cast("double").alias("theta"))
+        else:
+            graded = materialize(read.mapInArrow(_scorer(now), "doc_id bigint, anchor double, n_words int, english boolean, theta double"))
+    known = graded.filter("anchor is not null and theta is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels).select("theta", "anchor").toPandas()
     cuts = _cuts(known.theta.to_numpy(float), known.anchor.to_numpy(float))
     value = F.coalesce("theta", F.lit(CENTRE))
     grade = sum(((value > c).cast("int") for c in cuts), F.lit(1))
-    graded = read.select("doc_id", "n_words", "english").join(theta, "doc_id", "left")
     return graded.select("doc_id", "n_words", "english", value.alias("theta"), F.when(F.col("theta").isNull(), F.lit(3)).otherwise(grade).cast("int").alias("reading_level"))

@@ -273,7 +273,52 @@ def test_no_page_marks(line):
 
 def test_readings_undo_confusions():
     assert "within" in scans.readings("w!thin") and "metres" in scans.readings("rnetres") and "shall" in scans.readings("sliall") and "decision" in scans.readings("deci5i0n")
-    assert scans.readings("a" * 50) == {}
+    assert scans.readings("w2thin") == {} and [scans.CONFUSIONS[i] for i in scans.readings("w!thin")["within"]] == [("!", "i")]
+
+
+def _texts(spark, rows):
+    return spark.createDataFrame([("chunk", i, *r, None, None) for i, r in enumerate(rows)], "item_kind string, item_id long, text string, title string, number string, city string, bylaw_id string")
+
+
+def test_no_length_hides_noise(spark):
+    title = " ".join(f"regulation{i}" for i in range(40))  # a header of more than 200 characters
+    body = [("The committee adopts policies and regulations for the administration of antidisestablishmentarianismcommissions in town.", None, None)] * 20
+    noisy = [
+        ("The first line stands here\n" + " " * 70 + "12\nand the committee goes on.", None, None), ("The first line stands here\n" + title + "\nand the committee goes on.", title, None),
+        ("The committee adopts p0|i(ie5 and goes on.", None, None), ("The com-\r\nmittee adopts policies.", None, None), ("of ant1d1sestabl1shmentar1an1smcomm1ss1ons in town", None, None),
+    ]
+    df = _texts(spark, body + noisy)
+    got = {r.item_id: (r.noise, r.text) for r in scans.repair_scans(df, reflow=False).collect()}
+    assert got[20][0] == ["page_number"] and got[21][0] == ["running_header"] and got[23][0] == ["hyphen_break"]
+    assert got[22] == (["misread"], "The committee adopts policies and goes on.") and got[24][1] == "of antidisestablishmentarianismcommissions in town"
+    assert all(got[i][0] == [] for i in range(20))
+
+
+def test_a_filter_that_lets_all_through_changes_nothing(spark, data):
+    items = queries.text_items(spark, data)
+    run = lambda bits: set(map(str, scans.repair_scans(items, most_bits=bits).select("item_kind", "item_id", "text", "noise").collect()))
+    assert run(1 << 26) == run(1 << 13)
+
+
+def test_doubtful_neighbours_are_decoded_together():
+    fixes = {"tbe": [("the", 1.0)], "cat": [("eat", -0.5)], "hat": [("bat", -0.5)]}
+    pairs = {("the", "cat"): 40, ("the", "eat"): 0, ("tbe", "cat"): 1, ("cat", "sat"): 30}
+    d = scans.Decoder(fixes, pairs, {"the": 100, "tbe": 1, "cat": 50})
+    assert d.line("Tbe cat sat") == ("The cat sat", True)
+    assert set(d.asked("tbe cat sat")) == {("tbe", "cat"), ("tbe", "eat"), ("the", "cat"), ("the", "eat"), ("cat", "sat"), ("eat", "sat")}
+
+
+def test_confusions_are_estimated(spark):
+    good = "The committee requires a separate statement before the meeting of the members"
+    rows = [(good, None, None)] * 2000 + [(good.replace("meeting", "rneeting"), None, None), (good.replace("members", "rnembers"), None, None), (good.replace("statement", "5tatement"), None, None)]
+    df = _texts(spark, rows)
+    counted = df.mapInArrow(scans._count, "l string, r string, n bigint").groupBy("l", "r").agg(F.sum("n").alias("n"))
+    words = counted.filter("l = ''").select(F.col("r").alias("word"), "n")
+    known = words.filter("n >= 3").select(F.col("word").alias("cand"), F.col("n").alias("cn"))
+    weights = scans.confusion_weights(words.mapInArrow(scans._propose, "word string, n bigint, cand string, edits array<int>").join(known, "cand"), words)
+    of = dict(zip(scans.CONFUSIONS, weights))
+    assert of["rn", "m"] > of["nn", "m"] and of["5", "s"] > of["$", "s"] and max(weights) < 0
+    assert scans.confusion_weights(words.limit(0).mapInArrow(scans._propose, "word string, n bigint, cand string, edits array<int>").join(known, "cand"), words.limit(0)) == [np.log(0.01)] * len(weights)
 
 
 # --- 8 packing -------------------------------------------------------------------------------------------------------
@@ -421,17 +466,30 @@ def test_neighbours_do_not_depend_on_the_partitions(spark):
     assert got[0] == got[1] and len(got[0]) == 3000
 
 
+def test_levels_settle_and_do_not_depend_on_the_partitions(spark, data):
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/reading_labels.parquet")
+    out = []
+    for n in (2, 9):
+        told = []
+        got = reading.reading_levels(docs.repartition(n), labels, doc="doc_id", text="text", level="reading_level", told=told)
+        out.append({r.doc_id: (round(r.theta, 2), r.reading_level) for r in got.collect()})
+        assert told[-1]["moved"] < 0.05 and told[-1]["log_likelihood"] > told[0]["log_likelihood"]
+    assert sum(out[0][d] == out[1][d] for d in out[0]) >= 0.98 * len(out[0]) and len(out[0]) == len(out[1])
+
+
+def test_difficulty_of_a_word_is_found():
+    rng = np.random.default_rng(5)
+    exposure = np.full(len(reading.GRID), 20_000.0)
+    t = reading.GRID - reading.CENTRE
+    true = np.array([[-6.0, 0.8, -0.3], [-5.0, -0.9, -0.2], [-4.0, 0.0, 0.0]])
+    counts = rng.poisson(np.exp(true[:, [0]] + true[:, [1]] * t + true[:, [2]] * t * t) * exposure)
+    batch = reading.pa.record_batch([reading.pa.array([0, 1, 2]), *(reading.pa.array(c.astype(float)) for c in counts.T)], names=["bucket", *reading.COUNTS])
+    (got,) = reading._fitter(exposure)(iter([batch]))
+    assert np.abs(np.stack([got.column(c).to_numpy() for c in "cab"], 1) - true).max() < 0.15
+
+
 def test_levels_have_increasing_bounds():
     theta = np.array([1.0, 1.1, 2.0, 2.2, 3.0, 4.1, 4.2, 4.9, 5.0])
     cuts = reading._cuts(theta, np.array([1, 1, 2, 2, 3, 4, 4, 5, 5.0]))
     assert cuts == sorted(cuts) and [sum(t > c for c in cuts) + 1 for t in theta] == [1, 1, 2, 2, 3, 4, 4, 5, 5]
     assert reading._cuts(np.zeros(0), np.zeros(0)) == [1.5, 2.5, 3.5, 4.5]
-
-
-def test_blocks_of_the_models_change_nothing(spark, data, monkeypatch):
-    levels = lambda: {(r.doc_id, round(r.theta, 9), r.reading_level) for r in queries._levels(spark, data).collect()}
-    noise = lambda: set(map(str, queries.p7_found(spark, data).collect()))
-    one = levels(), noise()
-    monkeypatch.setattr(reading, "BLOCK_WORDS", 500)
-    monkeypatch.setattr(scans, "BLOCK_ROWS", 150)
-    assert (levels(), noise()) == one and len(one[0]) > 50 and one[1]
