@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clausewright.llm.bloom import Bloom, bloom, hashes_of_words, mix, word_hash
 from clausewright.runtime import materialize
 
 # Texts that stand for no answer.
@@ -27,7 +29,7 @@ PLACEHOLDERS = {
 LABELS = set("you asked your question query q a answer prompt user input request the was is here response vous avez demandé votre demande question réponse r usted preguntó su pregunta consulta respuesta p".split())
 # Frequent words of the languages.
 LANGUAGES = {
-    "en": "the a an and of to is are in for on with that this it you your can not may must shall be by at or from how what where who do does i my was has have long tall close need permit near any will there if under which section per year please no yes",
+    "en": "the a an and of to is are in for on with that this it you your can not may must shall be by at or from how what where who do does i my was has have any will there if under which section per year please no yes",
     "fr": "le la les un une des du de et est sont dans pour sur avec que qui ce cette il vous votre peut pas doit être par au aux ou quelle quel combien faut puis je près sans plus avant toute ne se coûte permis l d qu s n jours soit sera lieu a été",
     "es": "el la los las un una de del y es son en para por con que este esta usted su puede no debe ser al o cuánto cuesta qué cuál se sin más antes cerca permiso quien según hay lo está tiene mi días sea estar entregar más norma cada según otra vez",
     "de": "der die das ein eine einen einem einer und ist sind in im für auf mit dass dieser diese es sie ihr kann nicht muss werden wird von zu zur zum bei oder den dem des sich vor ohne nach über innerhalb wie darf wer beim an ab",
@@ -47,9 +49,16 @@ REFUSALS = [
     r"\bguidelines? (?:prevent|forbid|prohibit)s?", r"\b(?:is|are) off limits", r"\bno can do\b", r"\bi['’]?(?:d| would) rather not\b", r"\bi (?:don['’]t|do not) feel comfortable",
     r"\bno (?:response|answer) (?:can|will|may) be (?:given|provided)", r"\bas an ai\b", r"\blanguage model\b", r"\bi prefer not\b", r"\bi (?:do not|don['’]t) (?:answer|discuss|comment|provide)\b",
     r"\b(?:topic|subject|something|matter|question)s? (?:that )?i (?:am|have|['’]m|can|must|will|do)[^.]{0,20}\b(?:not|avoid|cannot|never)\b", r"\b(?:cannot|can['’]t|not (?:able|allowed|permitted) to) (?:help|assist|answer|discuss|comment)\b",
+    r"\b(?:go|goes|leave|left|remain|remains)\b[^.]{0,20}\bunanswered\b", r"\b(?:will|can|shall) not be (?:answering|answered|discuss(?:ing|ed))\b", r"\bnot (?:for|up to) me to (?:say|answer)\b",
     r"\bsomething i am not\b", r"\bbeyond (?:my|what i)\b", r"\bagainst my\b", r"\bnot something i\b",
     r"\bje (?:ne |n['’])(?:peux|puis|suis pas|souhaite|veux|dois|réponds|r)", r"\bje (?:suis )?désolée?\b", r"\bje préfère ne pas\b", r"\bil m['’]est (?:impossible|interdit)", r"\bje (?:regrette|refuse|dois refuser|dois décliner)\b", r"\bil ne m['’]est pas (?:permis|possible)", r"\baucune réponse ne peut\b",
     r"\bno puedo\b", r"\blo siento\b", r"\bprefiero no\b", r"\bno me (?:está|es) (?:permitido|posible)\b", r"\bno (?:estoy|soy) (?:en condiciones|autorizad|capaz)", r"\bme (?:niego|abstengo)\b", r"\blamento no\b", r"\bno se puede dar respuesta\b", r"\bdebo (?:negarme|rechazar|declinar)\b", r"\bno es posible responder\b",
+    r"\b(?:ich|wir) (?:kann|können|darf|dürfen|möchte|möchten|werde|werden) (?:ihnen |dazu |darauf |das |diese frage |hierzu |leider |dabei |hier )*nicht\b", r"\btut mir leid\b", r"\bleider (?:kann|darf|ist es mir)\b", r"\bist (?:es )?mir nicht (?:möglich|erlaubt|gestattet)\b",
+    r"\bnon (?:posso|possiamo|sono in grado|mi è (?:possibile|permesso|consentito))\b", r"\bmi dispiace\b", r"\b(?:devo|debbo) rifiutar", r"\bpreferisco non\b",
+    r"\bnão (?:posso|podemos|me é (?:possível|permitido)|estou autorizad)", r"\b(?:sinto muito|lamento)\b", r"\bprefiro não\b", r"\brecuso-me\b",
+    r"\b(?:ik|wij|we) (?:kan|kunnen|mag|mogen|wil|zal)(?: \w+){0,4} niet\b", r"\b(?:het )?spijt (?:me|mij|ons)\b",
+    r"\bnie (?:mogę|możemy|jestem w stanie|wolno mi)\b", r"\bprzykro mi\b", r"\bodmawiam\b", r"\bjag (?:kan|får|vill) (?:tyvärr )?inte\b", r"\btyvärr kan\b",
+    r"\bне (?:могу|можем|вправе|имею права|буду)\b", r"\b(?:извините|к сожалению|сожалею)\b", r"\bмне (?:не разрешено|нельзя)\b", r"\bотказываюсь\b",
 ]
 # What goes with a refusal and says nothing.
 FILLERS = [
@@ -57,6 +66,8 @@ FILLERS = [
     r"\bsomething else\b", r"\banything else\b", r"\bthank(?:s| you)\b", r"^(?:sorry|unfortunately|regrettably|no can do|i['’]m sorry)[.!, ]*$", r"\b(?:help|assist) you with\b", r"\bquestions about .* off limits\b",
     r"\bdésolée?\b", r"\bexcus", r"\b(?:consulte[rz]|contacte[rz]|adresse[rz]|veuillez)\b", r"\bautre (?:question|chose|sujet)\b", r"\bmerci\b", r"\bcomprendre", r"\bcompréhension\b",
     r"\bdisculp", r"\b(?:consulte|contacte|póngase|dirígase|comuníquese)\b", r"\botr[ao] (?:pregunta|cosa|tema|consulta)\b", r"\bgracias\b", r"\bcomprenda\b", r"\bcomprensión\b", r"\bperdón\b",
+    r"\bentschuldig", r"\bbitte wenden sie sich\b", r"\bdanke\b", r"\bandere(?:n|s)? (?:frage|thema)\b", r"\bscus[ai]", r"\bsi rivolga\b", r"\bgrazie\b", r"\bdesculp", r"\bobrigad", r"\bexcuses\b", r"\bneem contact\b", r"\bprzepraszam\b",
+    r"\bпожалуйста,? обратитесь\b", r"\bспасибо\b", r"\bпростите\b",
 ]
 _REFUSAL = re.compile("|".join(REFUSALS))
 _FILLER = re.compile("|".join(FILLERS))
@@ -76,24 +87,67 @@ def _norm(text: str) -> list[str]:
     return re.findall(r"[^\W_]+", text.lower())
 
 
+def _squeezed(words: list[str], dictionary: zstandard.ZstdCompressionDict) -> int:
+    return len(zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=dictionary).compress(" ".join(words).encode()))
+
+
+def _distance(a: list[str], b: list[str], most: int) -> int:
+    """Words to change, insert or drop to make a of b; anything over most is most + 1."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        if min(row) > most:
+            return most + 1
+    return row[-1]
+
+
 def is_copy(query: str, response: str) -> bool:
-    """Nothing but the query, perhaps repeated or labelled. The size with the query as dictionary sifts, the words decide."""
+    """Nothing but the query, perhaps labelled, repeated any number of times, or with one word in eight edited.
+
+    With the query as dictionary the response takes little more room than the query itself: a few bytes for each repetition, label and
+    edited word. What is that small is looked at word by word: between the copies only labels may stand. A query too short for a
+    dictionary is compared by words alone.
+    """
     q, r = _norm(query), _norm(response)
-    if not q or len(r) < len(q) or len(r) > 3 * len(q) + 12:
+    edits = len(q) // 8
+    if not q or len(r) < len(q) - edits:
         return False
     raw = " ".join(q).encode()
     if len(raw) >= 8:  # the least a dictionary can have
-        packed = zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress(" ".join(r).encode())
-        if len(packed) > 60 + len(raw) // 4:
+        dictionary = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        labels = sum(w in LABELS for w in r) - sum(w in LABELS for w in q) * max(1, len(r) // len(q))
+        if _squeezed(r, dictionary) > _squeezed(q, dictionary) + 16 + (8 + 14 * edits) * (1 + len(r) // len(q)) + 10 * max(0, labels):
             return False
-    at, rest, hits = 0, [], 0
+    at, hits, led, exact = 0, 0, -1, None
     while at < len(r):
-        if r[at : at + len(q)] == q:
-            at, hits = at + len(q), hits + 1
-        else:
-            rest.append(r[at])
+        if led < at:  # labels stand before led
+            led = next((i for i in range(at, len(r)) if r[i] not in LABELS), len(r) - 1)
+            exact = next((i for i in range(at, led + 1) if r[i : i + len(q)] == q), None)
+        if exact is not None:
+            at, hits, led = exact + len(q), hits + 1, -1
+            continue
+        near = [(_distance(q, r[at : at + n], edits), n) for n in range(len(q) - edits, len(q) + edits + 1) if at + n <= len(r)] if edits else ()
+        if near and min(near)[0] <= edits:
+            at, hits, led = at + min(near)[1], hits + 1, -1
+        elif r[at] in LABELS:
             at += 1
-    return hits > 0 and LABELS.issuperset(rest)
+        else:
+            return False
+    return hits > 0
+
+
+#: Scripts by the ranges of their letters; letters elsewhere are Latin.
+_SCRIPTS = (("Greek", "\u0370", "\u03ff"), ("Cyrillic", "\u0400", "\u052f"), ("Hebrew", "\u0590", "\u05ff"), ("Arabic", "\u0600", "\u077f"), ("Devanagari", "\u0900", "\u097f"), ("Thai", "\u0e00", "\u0e7f"), ("Hangul", "\uac00", "\ud7af"), ("East Asian", "\u3040", "\u9fff"))
+
+
+def script(text: str) -> str:
+    """The script of most of the text's letters; '' without letters."""
+    if text.isascii():
+        return "Latin" if any(map(str.isalpha, text)) else ""
+    seen = Counter(next((name for name, lo, hi in _SCRIPTS if lo <= c <= hi), "Latin") for c in text if c.isalpha())
+    return max(seen, key=lambda k: (seen[k], k), default="")
 
 
 def language(text: str) -> tuple[str, dict[str, int]]:
@@ -108,15 +162,14 @@ def language(text: str) -> tuple[str, dict[str, int]]:
 
 
 def speaks_otherwise(query: str, response: str) -> bool:
+    """Another script than the query's, or, in the same, the frequent words of another language."""
+    asked, said = script(query), script(response)
+    if asked and said and asked != said:
+        return sum(map(str.isalpha, response)) > 10 or said != "Latin"
     _, q = language(query)
     lang, r = language(response)
     mine = max(q, key=lambda k: (q[k], k == "en"))
-    if not q[mine]:
-        return False
-    letters = [c for c in response if c.isalpha()]
-    if len(letters) > 10 and sum(c > "ɏ" for c in letters) > len(letters) / 2:
-        return True
-    return bool(lang) and lang != mine and r[lang] >= r[mine] + 2 and q[lang] < q[mine]
+    return bool(q[mine]) and bool(lang) and lang != mine and r[lang] >= r[mine] + 2 and q[lang] < q[mine]
 
 
 def is_refusal(response: str) -> bool:
@@ -132,17 +185,22 @@ def _shape(word: str) -> str:
     return re.sub(r"\d+", "#", word.strip("\"'“”’«»*_`()[]>.,;:!?"))
 
 
-def contexts(line: str) -> list[tuple[list[str], bool]]:
-    """For each word of a line the keys of its contexts, longest first, and whether a sentence ends at it."""
-    listed = "L" if re.match(r"\s*(?:[-*•]|\d+[.)])\s", line) else "S"
-    tokens = line.split()
+def _listed(line: str) -> str:
+    return "L" if re.match(r"\s*(?:[-*•]|\d+[.)])\s", line) else "S"
+
+
+def contexts(line: str, only: Container[str] | None = None) -> list[tuple[list[str], bool, bool]]:
+    """For each word of a line (or those in `only`) the keys of its contexts, longest first, whether a sentence ends at it, and whether it is
+    the line's last."""
+    listed, tokens = _listed(line), line.split()
     shapes = [_shape(t) for t in tokens]
     loose = ["Xx" if s[:1].isupper() else s for s in shapes]
     out = []
     for i, t in enumerate(tokens):
-        own = shapes[i].lower()
-        keys = [" ".join([listed, *loose[i - n : i], own]) for n in (4, 3, 2, 1) if i >= n] + [f"{listed} {own}"]
-        out.append((keys, i == len(tokens) - 1 or bool(re.search(r"[.!?]$", t.rstrip("\"'”’»*_`)]")))))
+        if only is None or t in only:
+            own = shapes[i].lower()
+            keys = [" ".join([listed, *loose[i - n : i], own]) for n in (4, 3, 2, 1) if i >= n] + [f"{listed} {own}"]
+            out.append((keys, i == len(tokens) - 1 or bool(re.search(r"[.!?]$", t.rstrip("\"'”’»*_`)]"))), i == len(tokens) - 1))
     return out
 
 
@@ -159,31 +217,45 @@ def tail_keys(response: str) -> list[str] | None:
         return None
     if body[-1] == "." and not re.search(r"\d\.$", body):
         return None
-    found = contexts(last)
+    words = last.split()
+    found = contexts(last, words[-1:])
     return found[-1][0] if found else None
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
+def _counter(asked: Bloom):
+    """Partial counts of the contexts that pass the filter: how often a sentence ends there, goes on, or is left open by the response."""
 
-    def flush() -> pa.RecordBatch:
-        keys = {k for k, _ in seen}
-        rows = [(k, seen[k, True], seen[k, False], seen[k, None]) for k in keys]
+    def flush(seen: Counter) -> pa.RecordBatch:
+        keys = list({k for k, _ in seen})
+        kept = [k for k, ok in zip(keys, asked.has(mix(word_hash(keys)))) if ok]
+        rows = [(k, seen[k, True], seen[k, False], seen[k, None]) for k in kept]
         seen.clear()
         return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["key", "ends", "goes_on", "open"])
 
-    for b in batches:
-        for text in b.column("response").to_pylist():
-            lines = [x for x in _TAG.sub("", text or "").rstrip().split("\n") if x.strip()]
-            for i, line in enumerate(lines):
-                found = contexts(line)
-                for j, (keys, end) in enumerate(found):
-                    final = i == len(lines) - 1 and j == len(found) - 1
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for b in batches:
+            texts = [[x for x in _TAG.sub("", t or "").rstrip().split("\n") if x.strip()] for t in b.column("response").to_pylist()]
+            # the shortest context of a word is the word: where it does not pass no longer one can be wanted
+            tokens = list({t for lines in texts for x in lines for t in x.split()})
+            shapes = [_shape(t).lower() for t in tokens]
+            ok = np.zeros(len(tokens), bool)
+            for listed in "LS":
+                ok |= asked.has(mix(word_hash([f"{listed} {s}" for s in shapes])))
+            wanted = {t for t, x in zip(tokens, ok) if x}
+            for lines in texts:
+                for i, line in enumerate(lines):
+                    if wanted.isdisjoint(line.split()):
+                        continue
                     closed = bool(re.search(r"[.!?]$", line.rstrip(_CLOSE)))
-                    seen.update((k, None if final and not closed else end) for k in keys)
-            if len(seen) > 300_000:
-                yield flush()
-    yield flush()
+                    for keys, end, last in contexts(line, wanted):
+                        final = last and i == len(lines) - 1
+                        seen.update((k, None if final and not closed else end) for k in keys)
+                if len(seen) > 300_000:
+                    yield flush(seen)
+        yield flush(seen)
+
+    return run
 
 
 def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,15 +284,16 @@ def broken_pairs(log: DataFrame, *, id_col: str, query: str, response: str, stat
 
     One defect a row, the first that holds of empty, copies_question, other_language, refusal, truncated. A null
     response is empty. An id delivered again counts once; under one id with several texts the smallest counts. Null
-    ids are left out, an empty log has no defects. The contexts of all responses are counted in the cluster and
-    joined to the open endings; nothing is collected.
+    ids are left out, an empty log has no defects. Of the contexts in all responses those of open endings are counted in the cluster
+    and joined to these; a Bloom filter of bounded size tells which they are.
     """
     rows = log.select(F.col(id_col).cast("bigint").alias("id"), F.col(query).alias("query"), F.col(response).alias("response"), F.col(status).alias("status")).filter("id is not null")
     rows = materialize(rows.groupBy("id").agg(F.min(F.struct("query", "response", "status")).alias("s")).select("id", "s.*"))
-    known = rows.mapInArrow(_count, "key string, ends bigint, goes_on bigint, open bigint").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("ends", "goes_on", "open")))
     due = rows.filter(F.length(F.trim(F.regexp_replace("query", r"\s+", " "))) > 0).filter("status is null or lower(trim(status)) = 'ok'")
     labelled = materialize(due.select("id", "query", "response").mapInArrow(_label, "id bigint, kind string, keys array<string>"))
     tails = labelled.filter("keys is not null").select("id", F.posexplode("keys").alias("at", "key"), F.size("keys").alias("n"))
+    asked = bloom(materialize(tails.select("key").distinct().mapInArrow(hashes_of_words, "h bigint")))
+    known = rows.mapInArrow(_counter(asked), "key string, ends bigint, goes_on bigint, open bigint").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("ends", "goes_on", "open")))
     # numbers and addresses end as they do elsewhere, words must have been seen within or at the end of a sentence
     bare = F.col("key").rlike(r"(?:<url>|#)$")
     tails = tails.join(known, "key", "left").withColumn("goes", F.coalesce("goes_on", F.lit(0)))

@@ -20,10 +20,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clausewright.llm.bloom import BLOOM_BITS, Bloom, bloom, hashes_of_pairs, hashes_of_words, mix, pair_hash, word_hash
 from clausewright.runtime import materialize
 
 # What recognition reads, and what stood there.
@@ -53,7 +53,6 @@ SURE = 20
 P_STRANGE = 1e-4
 #: A word that stands in the texts so often may be what a misreading hides.
 LEXICON_MIN = 3
-BLOOM_BITS = 1 << 26
 _CORES: dict[str, str] = {}
 
 
@@ -270,56 +269,6 @@ def channel_model(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return materialize(fixes), materialize(joins), words
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(32))
-
-
-def _word_hash(words: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w, seed=42) for w in words), np.uint64, len(words))
-
-
-def _pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return _mix(left * np.uint64(3) + right)
-
-
-class Bloom:
-    """A filter of 64-bit hashes of at most BLOOM_BITS bits; with more keys than it is made for it only lets more through."""
-
-    def __init__(self, words: np.ndarray):
-        self.words = words
-
-    def has(self, h: np.ndarray) -> np.ndarray:
-        mask, out = np.uint64(len(self.words) * 64 - 1), np.ones(len(h), bool)
-        for shift in (0, 21, 42):
-            p = (h >> np.uint64(shift)) & mask
-            out &= (self.words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
-        return out
-
-
-def _hashes_of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.record_batch([pa.array(_mix(_word_hash(b.column("key").to_pylist())).view(np.int64))], names=["h"])
-
-
-def _hashes_of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.record_batch([pa.array(_pair_hash(_word_hash(b.column("l").to_pylist()), _word_hash(b.column("r").to_pylist())).view(np.int64))], names=["h"])
-
-
-def bloom(hashes: DataFrame, most_bits: int = BLOOM_BITS) -> Bloom:
-    """The filter of a column h. Its bits are set in the cluster, and at most most_bits / 64 numbers are collected."""
-    bits = 1 << 13
-    n = hashes.count()
-    while bits < 16 * n and bits < most_bits:
-        bits *= 2
-    at = F.explode(F.array(*(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(bits - 1)) for k in (0, 21, 42))))
-    rows = hashes.select(at.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("v")).toArrow()
-    words = np.zeros(bits // 64, np.int64)
-    words[rows.column("w").to_numpy()] = rows.column("v").to_numpy()
-    return Bloom(words.view(np.uint64))
-
-
 FOUND = "item_kind string, item_id bigint, l string, r string"
 
 
@@ -337,7 +286,7 @@ def _finder(known: Bloom):
             cores = {t: _core_of(t) for t in set().union(*map(str.split, texts))}
             cores |= {m[1] + m[2]: _core_of(m[1] + m[2]) for ms in split for m in ms}
             names = list(set(cores.values()) - {""})
-            hit = {w for w, ok in zip(names, known.has(_mix(_word_hash(names)))) if ok}
+            hit = {w for w, ok in zip(names, known.has(mix(word_hash(names)))) if ok}
             hit = {t: c for t, c in cores.items() if c in hit}
             rows = []
             for kind, item, text, ms in zip(b.column("item_kind").to_pylist(), b.column("item_id").to_pylist(), texts, split):
@@ -364,9 +313,9 @@ def _pair_counter(asked: Bloom):
                 doc = np.repeat(np.arange(len(parts)), list(map(len, parts)))
                 some = np.fromiter(map(bool, cores), bool, len(cores))[ids] if len(ids) else np.zeros(0, bool)
                 ids, doc = ids[some], doc[some]
-                h = _word_hash(cores)[ids]
+                h = word_hash(cores)[ids]
                 pairs = np.flatnonzero((doc[1:] == doc[:-1]))
-                pairs = pairs[asked.has(_pair_hash(h[pairs], h[pairs + 1]))]
+                pairs = pairs[asked.has(pair_hash(h[pairs], h[pairs + 1]))]
                 seen = Counter((cores[i], cores[j]) for i, j in zip(ids[pairs].tolist(), ids[pairs + 1].tolist()))
                 yield pa.record_batch([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["l", "r", "n"])
 
@@ -544,14 +493,14 @@ def repair_scans(items: DataFrame, titles: DataFrame | None = None, reflow: bool
     rows = materialize(rows.select(*ids, "text", "title", "title2", "number", "city").mapInArrow(_unmark, OUT))
     fixes, joins, words = channel_model(rows.select("text"))
     keys = fixes.select(F.col("word").alias("key")).distinct()
-    found = rows.select(*ids, "text").mapInArrow(_finder(bloom(materialize(keys.mapInArrow(_hashes_of_words, "h bigint")), most_bits)), FOUND)
+    found = rows.select(*ids, "text").mapInArrow(_finder(bloom(materialize(keys.mapInArrow(hashes_of_words, "h bigint")), most_bits)), FOUND)
     found = materialize(found)
     own = found.filter("l = ''").join(fixes, F.col("r") == F.col("word")).groupBy(*ids).agg(F.collect_list(F.struct("word", "cand", "score")).alias("fixes"))  # of one text
     cut = found.filter("l <> ''").join(joins, ["l", "r"]).groupBy(*ids).agg(F.collect_list(F.struct("l", "r")).alias("joins"))  # of one text
     due = materialize(rows.join(materialize(own.join(cut, ids, "full")), ids))
     asked = materialize(due.select(*ids, "text", "joins", "fixes").mapInArrow(_ask, FOUND))
     pairs = materialize(asked.select("l", "r").distinct())
-    counts = rows.select("text").mapInArrow(_pair_counter(bloom(materialize(pairs.mapInArrow(_hashes_of_pairs, "h bigint")), most_bits)), "l string, r string, n bigint")
+    counts = rows.select("text").mapInArrow(_pair_counter(bloom(materialize(pairs.mapInArrow(hashes_of_pairs, "h bigint")), most_bits)), "l string, r string, n bigint")
     counts = pairs.join(counts.groupBy("l", "r").agg(F.sum("n").alias("n")), ["l", "r"], "left").join(words.select(F.col("word").alias("l"), F.col("n").alias("total")), "l", "left")
     counts = materialize(counts.na.fill(0, ["n", "total"]))
     context = asked.join(counts, ["l", "r"]).groupBy(*ids).agg(F.collect_list(F.struct("l", "r", "n", "total")).alias("pairs"))  # of one text

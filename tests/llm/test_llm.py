@@ -194,6 +194,10 @@ Q = "How tall can a fence be on Elm Road?"
         (Q, "Sorry to hear about the trouble; the Clerk can send an inspector.", None), ("Puis-je construire la haie ?", "Je ne suis pas en mesure de vous aider à ce sujet.", "refusal"),
         (Q, "Le propriétaire doit entretenir le balcon et présenter un plan dans un délai de 10 jours.", "other_language"), (Q, "Lo siento, no puedo responder a esa pregunta de la ley.", "other_language"),
         (Q, "Der Eigentümer muss die Hecke pflegen und innerhalb von 17 Tagen einen Plan vorlegen.", "other_language"),
+        (Q, " ".join([Q] * 12), "copies_question"), (Q, "Q: How tall may a fence be on Elm Road?", "copies_question"), (Q, "How tall can a fence be on Elm Road? Two metres.", None), (Q, "A fence on Elm Road can be two metres tall.", None),
+        ("Burn leaves?", "You asked: burn leaves?", "copies_question"), ("Can I burn leaves?", "You can burn leaves.", None),
+        (Q, "That request will have to go unanswered.", "refusal"), ("Wie hoch darf ein Zaun an der Elm Road sein?", "Das kann ich leider nicht sagen, tut mir leid.", "refusal"), ("Какой высоты может быть забор?", "Извините, я не могу ответить на этот вопрос.", "refusal"),
+        ("栅栏可以有多高?", "The fence may be two metres tall at most.", "other_language"), (Q, "栅栏最高两米。", "other_language"), ("Какой высоты может быть забор?", "Забор может быть высотой до двух метров.", None),
         (Q, "The permit stays val-", "truncated"), (Q, "The fence may be tall (see Section 4", "truncated"), (Q, "The fence is fine. See https://a.example/bylaws/elm", None),
     ],
 )
