@@ -1,6 +1,6 @@
 """Passages of evaluation items in a corpus (problem 9).
 
-The items form a BM25 index with block maxima. Every passage of every document is a query against it, walked by
+The items form a BM25 index with block maxima. Every passage of every document that can hold a leak is a query against it, walked by
 block-max WAND; the threshold of an item is the least score that any of its runs of `run` words can give, so no
 leak of that length is missed. What passes is verified word by word.
 """
@@ -50,6 +50,7 @@ class ItemIndex:
             scores = [s for _, s in p]
             self.lists[w] = ([i for i, _ in p], scores, max(scores), [max(scores[b : b + BLOCK]) for b in range(0, len(p), BLOCK)])
         self.bar = min(self.least, default=math.inf)
+        self.stretch = re.compile(f"x{{{run},}}")
 
     def above(self, words: set[str]) -> list[int]:
         """Positions of the items that score at least their threshold for a set of query words."""
@@ -99,18 +100,22 @@ class ItemIndex:
             c[0] = c[2][0][c[1]] if c[1] < len(c[2][0]) else END
 
     def leaks(self, text: str, passage: int) -> list[int]:
-        """Ids of the items of which the text holds `run` consecutive words."""
+        """Ids of the items of which the text holds `run` consecutive words.
+
+        All words of a leak are words of the index, so the passages are cut from the stretches of at least `run` such words.
+        """
         words = WORD.findall(text.lower())
-        if len(words) < self.run or sum(self.lists[w][2] for w in set(words) if w in self.lists) < self.bar:
+        if len(words) < self.run or not self.lists:
             return []
         hits = set()
         step = passage - self.run + 1  # every run lies within one passage
-        for s in range(0, max(1, len(words) - self.run + 1), step):
-            part = words[s : s + passage]
-            cand = [i for i in self.above(set(part)) if i not in hits]
-            if cand:
-                runs = {tuple(part[k : k + self.run]) for k in range(len(part) - self.run + 1)}
-                hits.update(i for i in cand if not runs.isdisjoint(self.runs[i]))
+        for stretch in self.stretch.finditer("".join(["x" if w in self.lists else " " for w in words])):
+            for s in range(stretch.start(), stretch.end() - self.run + 1, step):
+                part = words[s : min(s + passage, stretch.end())]
+                cand = [i for i in self.above(set(part)) if i not in hits]
+                if cand:
+                    runs = {tuple(part[k : k + self.run]) for k in range(len(part) - self.run + 1)}
+                    hits.update(i for i in cand if not runs.isdisjoint(self.runs[i]))
         return [self.ids[i] for i in sorted(hits)]
 
 

@@ -32,6 +32,14 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(spread(text_items(spark, d), "item_id"), ["item_kind", "item_id"]).distinct()
 
 
+def p3_cover(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of an item put together again, without their overlaps, and whether all are within the size and follow each other."""
+    pieces = p3_pieces(spark, d).groupBy("item_kind", "item_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_text"))).alias("p"))  # of one text
+    body = F.array_join(F.transform("p", lambda x, i: F.when(i == 0, x["chunk_text"]).otherwise(F.substring(x["chunk_text"], 151, 1000))), "")
+    fits = F.forall("p", lambda x: F.length(x["chunk_text"]) <= 1000) & (F.element_at("p", -1)["chunk_index"] + 1 == F.size("p"))
+    return pieces.select("item_kind", "item_id", F.md5(body).alias("text_md5"), fits.alias("fits"))
+
+
 def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
     near = neighbours.similar_vectors(load(spark, d, "bylaw_chunks"), "chunk_id", "chunk_embedding", dim=64, k=5)
     return near.select(F.col("id").alias("chunk_id"), F.col("other").alias("neighbour_id"), F.round(F.col("similarity").cast("double"), 5).alias("similarity"))
@@ -143,6 +151,7 @@ QUERIES = {
     "p1_groups": p1_groups,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p3_cover": p3_cover,
     "p4_found": p4_found,
     "p4_neighbours": p4_neighbours,
     "p4_recall": p4_recall,
@@ -190,6 +199,10 @@ SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM p W
 g AS (SELECT rep x, rep y FROM r UNION SELECT g.x, e.y FROM g JOIN e ON g.y = e.x),
 c2 AS (SELECT x rep, min(y) group_id FROM g GROUP BY x), d AS (SELECT x rep, count(*) n_links FROM e GROUP BY x)
 SELECT DISTINCT t.chunk_id, rep AS class_id, group_id, coalesce(n_links, 0) AS n_links FROM t JOIN r USING (chunk_text) JOIN c2 USING (rep) LEFT JOIN d USING (rep)""",
+    "p3_cover": r"""
+WITH i AS (SELECT 'bylaw' item_kind, scrape_id item_id, text t FROM bylaws UNION ALL SELECT 'chunk', chunk_id, chunk_text FROM bylaw_chunks),
+n AS (SELECT DISTINCT item_kind, item_id, regexp_replace(regexp_replace(regexp_replace(t, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g') t FROM i)
+SELECT item_kind, item_id, md5(t) AS text_md5, true AS fits FROM n WHERE length(t) > 1000""",
     "p4_recall": """
 SELECT count(DISTINCT chunk_id) AS n_queries, true AS reached FROM bylaw_chunks WHERE chunk_id % 50 = 0 AND len(chunk_embedding) = 64
   AND len(list_filter(chunk_embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(chunk_embedding, lambda x: x <> 0)) > 0""",
