@@ -25,8 +25,9 @@ from clausewright.llm.pairs import LANGUAGES
 from clausewright.runtime import arrow_batches, materialize
 
 WORD = re.compile(r"[a-z0-9]+")
-SENTENCE = re.compile(r"(?<=[.!?;])\s+|\n+")
+SENTENCE = re.compile(r"[.!?;]\s+|\n+")
 TOKEN = re.compile(r"[^\W_]+|\x00")
+_ASCII = {i: " " for i in range(128) if not chr(i).isalnum() and i}
 BUCKETS = 1 << 18
 #: Buckets at the end that stand for sentence lengths and mean word lengths; each counts three times a sentence.
 LENGTHS, LETTERS, TIMES = 16, 48, 3
@@ -45,14 +46,20 @@ def _bucket(word: str) -> int:
     return xxhash.xxh3_64_intdigest(w) % WORDS if w else -1
 
 
+def _tokens(low: str) -> list[str]:
+    """Words of a lower-cased text, with a mark behind each sentence."""
+    marked = SENTENCE.sub(" \x00 ", low) + " \x00"
+    return marked.translate(_ASCII).split() if marked.isascii() else TOKEN.findall(marked)
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as buckets: for each document the buckets of its words, and of its sentences how many words and letters."""
     for whole in batches:
         for at in range(0, whole.num_rows, 500):
             b = whole.slice(at, 500)
             lows = [(t or "").lower().replace("\x00", " ") for t in b.column("text").to_pylist()]
-            parts = [TOKEN.findall(SENTENCE.sub("\x00", t) + "\x00") for t in lows]
-            n_words = [len(WORD.findall(t)) for t in lows]
+            parts = [_tokens(t) for t in lows]
+            n_words = [len(p) - p.count("\x00") if t.isascii() else len(WORD.findall(t)) for t, p in zip(lows, parts)]
             flat = [w for p in parts for w in p]
             vocabulary = {w: i for i, w in enumerate(dict.fromkeys(flat))}
             names = list(vocabulary)
