@@ -105,7 +105,7 @@ def p7_repaired(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_inputs(spark: SparkSession, d: str) -> DataFrame:
     docs = load(spark, d, "documents")
-    groups = nearcopies.copy_groups(*nearcopies.near_copies(docs, "doc_id", "text", threshold=0.8, ngram=5))
+    groups = nearcopies.copy_groups(*nearcopies.near_copies(docs, "doc_id", "text", threshold=0.8, ngram=5, bands=24, rows=6))
     return packing.pack_documents(docs, doc="doc_id", text="text", source="source", clusters=groups.select("id", F.col("group_id").alias("cluster")))
 
 
