@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Container, Iterator
+from collections.abc import Callable, Container, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +74,8 @@ _FILLER = re.compile("|".join(FILLERS))
 _TAG = re.compile(r"<[^<>]*>|&[a-z]+;|[\u200b-\u200f\ufeff\u2060]")
 _URL = re.compile(r"https?://[\w.-]+\.\w+/\w[\w-]*/\w[\w-]*")
 _WORD = re.compile(r"[^\W\d_]+")
+_DIGITS = re.compile(r"\d+")
+_LISTED = re.compile(r"\s*(?:[-*•]|\d+[.)])\s")
 _CLOSE = "\"'”’»*_`)] "
 DEFECTS = ("empty", "truncated", "refusal", "copies_question", "other_language")
 
@@ -182,25 +184,25 @@ def is_refusal(response: str) -> bool:
 def _shape(word: str) -> str:
     if _URL.match(word):
         return "<url>"
-    return re.sub(r"\d+", "#", word.strip("\"'“”’«»*_`()[]>.,;:!?"))
+    return _DIGITS.sub("#", word.strip("\"'“”’«»*_`()[]>.,;:!?"))
 
 
 def _listed(line: str) -> str:
-    return "L" if re.match(r"\s*(?:[-*•]|\d+[.)])\s", line) else "S"
+    return "L" if _LISTED.match(line) else "S"
 
 
-def contexts(line: str, only: Container[str] | None = None) -> list[tuple[list[str], bool, bool]]:
+def contexts(line: str, only: Container[str] | None = None, shape: Callable[[str], str] = _shape) -> list[tuple[list[str], bool, bool]]:
     """For each word of a line (or those in `only`) the keys of its contexts, longest first, whether a sentence ends at it, and whether it is
     the line's last."""
     listed, tokens = _listed(line), line.split()
-    shapes = [_shape(t) for t in tokens]
+    shapes = list(map(shape, tokens))
     loose = ["Xx" if s[:1].isupper() else s for s in shapes]
     out = []
     for i, t in enumerate(tokens):
         if only is None or t in only:
             own = shapes[i].lower()
             keys = [" ".join([listed, *loose[i - n : i], own]) for n in (4, 3, 2, 1) if i >= n] + [f"{listed} {own}"]
-            out.append((keys, i == len(tokens) - 1 or bool(re.search(r"[.!?]$", t.rstrip("\"'”’»*_`)]"))), i == len(tokens) - 1))
+            out.append((keys, i == len(tokens) - 1 or t.rstrip("\"'”’»*_`)]").endswith((".", "!", "?")), i == len(tokens) - 1))
     return out
 
 
@@ -237,8 +239,9 @@ def _counter(asked: Bloom):
         for b in batches:
             texts = [[x for x in _TAG.sub("", t or "").rstrip().split("\n") if x.strip()] for t in b.column("response").to_pylist()]
             # the shortest context of a word is the word: where it does not pass no longer one can be wanted
-            tokens = list({t for lines in texts for x in lines for t in x.split()})
-            shapes = [_shape(t).lower() for t in tokens]
+            shape = {t: _shape(t) for t in {t for lines in texts for x in lines for t in x.split()}}
+            tokens = list(shape)
+            shapes = [shape[t].lower() for t in tokens]
             ok = np.zeros(len(tokens), bool)
             for listed in "LS":
                 ok |= asked.has(mix(word_hash([f"{listed} {s}" for s in shapes])))
@@ -247,10 +250,11 @@ def _counter(asked: Bloom):
                 for i, line in enumerate(lines):
                     if wanted.isdisjoint(line.split()):
                         continue
-                    closed = bool(re.search(r"[.!?]$", line.rstrip(_CLOSE)))
-                    for keys, end, last in contexts(line, wanted):
-                        final = last and i == len(lines) - 1
-                        seen.update((k, None if final and not closed else end) for k in keys)
+                    closed = line.rstrip(_CLOSE).endswith((".", "!", "?"))
+                    for keys, end, last in contexts(line, wanted, shape.__getitem__):
+                        how = None if last and i == len(lines) - 1 and not closed else end
+                        for k in keys:
+                            seen[k, how] += 1
                 if len(seen) > 300_000:
                     yield flush(seen)
         yield flush(seen)
