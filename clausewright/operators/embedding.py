@@ -31,11 +31,13 @@ class HashingEmbedder:
         self.dim = dim
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim), np.float32)
-        for i, text in enumerate(texts):
-            for w in re.findall(r"\w+", text.lower()):
-                h = xxhash.xxh64_intdigest(w)
-                out[i, (h >> 1) % self.dim] += 1 if h & 1 else -1
+        words = [re.findall(r"\w+", t.lower()) for t in texts]
+        known = {w: i for i, w in enumerate(dict.fromkeys(w for ws in words for w in ws))}
+        h = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))
+        ids = np.fromiter((known[w] for ws in words for w in ws), np.int64, sum(map(len, words)))
+        row = np.repeat(np.arange(len(texts)), [len(ws) for ws in words])
+        place, sign = ((h >> np.uint64(1)) % np.uint64(self.dim)).astype(np.int64), np.where(h & np.uint64(1), 1.0, -1.0)
+        out = np.bincount(row * self.dim + place[ids], sign[ids], len(texts) * self.dim).reshape(len(texts), self.dim).astype(np.float32)
         norm = np.linalg.norm(out, axis=1)
         return out / np.where(norm > 0, norm, 1)[:, None]
 

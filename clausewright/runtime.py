@@ -66,7 +66,18 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._folder = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the folder of a materialized table that nothing reads any more."""
+    path = getattr(df, "_folder", None)
+    if path in _written:
+        _written.remove(path)
+        p, fs = _filesystem(df.sparkSession, path)
+        fs.delete(p, True)
 
 
 def release(spark: SparkSession, since: int = 0) -> None:

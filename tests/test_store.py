@@ -261,3 +261,15 @@ def test_no_temporary_folder_on_a_cluster(spark, monkeypatch):
     import os
 
     assert runtime.written() == at and path not in os.listdir(runtime.shared_dir(spark))
+
+
+def test_discarded_tables_are_gone(spark):
+    import os
+
+    from clausewright import runtime
+
+    df = runtime.materialize(spark.range(3))
+    assert df.count() == 3 and os.path.isdir(df._folder.removeprefix("file:"))
+    runtime.discard(df)
+    runtime.discard(spark.range(1))
+    assert not os.path.isdir(df._folder.removeprefix("file:"))
