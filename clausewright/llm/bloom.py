@@ -10,6 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clausewright.runtime import discard
+
 BLOOM_BITS = 1 << 26
 
 
@@ -51,13 +53,15 @@ def hashes_of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def bloom(hashes: DataFrame, most_bits: int = BLOOM_BITS) -> Bloom:
-    """The filter of a column h. Its bits are set in the cluster, and at most most_bits / 64 numbers are collected."""
+    """The filter of a column h, a materialized table that goes with it. Its bits are set in the cluster, and at most most_bits / 64 numbers
+    are collected."""
     bits = 1 << 13
     n = hashes.count()
     while bits < 16 * n and bits < most_bits:
         bits *= 2
     at = F.explode(F.array(*(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(bits - 1)) for k in (0, 21, 42))))
     rows = hashes.select(at.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("v")).toArrow()
+    discard(hashes)
     words = np.zeros(bits // 64, np.int64)
     words[rows.column("w").to_numpy()] = rows.column("v").to_numpy()
     return Bloom(words.view(np.uint64))

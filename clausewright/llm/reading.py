@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausewright.llm.pairs import LANGUAGES
-from clausewright.runtime import arrow_batches, materialize
+from clausewright.runtime import arrow_batches, discard, materialize
 
 WORD = re.compile(r"[a-z0-9]+")
 SENTENCE = re.compile(r"[.!?;]\s+|\n+")
@@ -218,6 +218,7 @@ def fit_words(read: DataFrame, now: np.ndarray | None, before: np.ndarray | None
     fitted = counts.filter("bucket >= 0").mapInArrow(_fitter(exposure), "bucket bigint, c double, a double, b double").toArrow()
     table = np.zeros((BUCKETS, 3), np.float32)
     table[:, 0] = np.log(0.5 / exposure.sum())  # never seen: rare everywhere
+    discard(counts)
     table[fitted.column("bucket").to_numpy()] = np.stack([fitted.column(c).to_numpy() for c in "cab"], 1)
     return table, seen
 
