@@ -251,7 +251,7 @@ def channel_model(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     written as one word than with a hyphen. words(word, n): their counts.
     """
     counted = materialize(items.mapInArrow(_count, "l string, r string, n bigint").groupBy("l", "r").agg(F.sum("n").alias("n")))
-    words = materialize(counted.filter("l = ''").select(F.col("r").alias("word"), "n"))
+    words = counted.filter("l = ''").select(F.col("r").alias("word"), "n")
     known = words.filter((F.col("n") >= LEXICON_MIN) & ~F.col("word").rlike(STRANGE.pattern)).select(F.col("word").alias("cand"), F.col("n").alias("cn"))
     word = F.col("word")
     cands = words.filter(~_hard(word)).mapInArrow(_propose, "word string, n bigint, cand string, edits array<int>").join(known, "cand")
@@ -266,7 +266,7 @@ def channel_model(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     splits = counted.filter("l <> '' and r <> ''").select("l", "r", F.concat("l", "r").alias("one"), F.concat_ws("-", "l", "r").alias("two"))
     splits = splits.join(words.select(F.col("word").alias("one"), F.col("n").alias("n1")), "one", "left").join(words.select(F.col("word").alias("two"), F.col("n").alias("n2")), "two", "left")
     joins = splits.filter(F.coalesce("n1", F.lit(0)) >= F.coalesce("n2", F.lit(0))).select("l", "r")
-    return materialize(fixes), materialize(joins), words
+    return materialize(fixes), joins, words
 
 
 FOUND = "item_kind string, item_id bigint, l string, r string"
@@ -497,14 +497,13 @@ def repair_scans(items: DataFrame, titles: DataFrame | None = None, reflow: bool
     found = materialize(found)
     own = found.filter("l = ''").join(fixes, F.col("r") == F.col("word")).groupBy(*ids).agg(F.collect_list(F.struct("word", "cand", "score")).alias("fixes"))  # of one text
     cut = found.filter("l <> ''").join(joins, ["l", "r"]).groupBy(*ids).agg(F.collect_list(F.struct("l", "r")).alias("joins"))  # of one text
-    due = materialize(rows.join(materialize(own.join(cut, ids, "full")), ids))
+    due = materialize(rows.join(own.join(cut, ids, "full"), ids))
     asked = materialize(due.select(*ids, "text", "joins", "fixes").mapInArrow(_ask, FOUND))
     pairs = materialize(asked.select("l", "r").distinct())
     counts = rows.select("text").mapInArrow(_pair_counter(bloom(materialize(pairs.mapInArrow(hashes_of_pairs, "h bigint")), most_bits)), "l string, r string, n bigint")
     counts = pairs.join(counts.groupBy("l", "r").agg(F.sum("n").alias("n")), ["l", "r"], "left").join(words.select(F.col("word").alias("l"), F.col("n").alias("total")), "l", "left")
-    counts = materialize(counts.na.fill(0, ["n", "total"]))
-    context = asked.join(counts, ["l", "r"]).groupBy(*ids).agg(F.collect_list(F.struct("l", "r", "n", "total")).alias("pairs"))  # of one text
+    context = asked.join(counts.na.fill(0, ["n", "total"]), ["l", "r"]).groupBy(*ids).agg(F.collect_list(F.struct("l", "r", "n", "total")).alias("pairs"))  # of one text
     clean = due.join(context, ids, "left").select(*ids, "text", "noise", "joins", "fixes", "pairs").mapInArrow(_decode, OUT)
-    clean = materialize(clean).select(*ids, F.col("text").alias("text_"), F.col("noise").alias("noise_"))
+    clean = clean.select(*ids, F.col("text").alias("text_"), F.col("noise").alias("noise_"))
     all_ = rows.join(clean, ids, "left").select(*ids, F.coalesce("text_", "text").alias("text"), F.coalesce("noise_", "noise").alias("noise"))
     return all_.mapInArrow(_each(_flow), OUT) if reflow else all_
