@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import fields
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from clausewright import config
 from clausewright.functions import text as T
 from clausewright.operators import activity, answer, chunking, embedding, html, search, snapshots
 from clausewright.plans.sql import SQL  # noqa: F401
 from clausewright.runtime import load, materialize, new_folder, spread
 from clausewright.sources import loaders, store, unify
+from clausewright.streaming import log as stream
 
 BASE = "https://bylaws.example"
 TODAY = "2024-06-01"
@@ -33,6 +37,13 @@ def vector_topk_batch(spark: SparkSession, d: str) -> DataFrame:
     return _nearest(spark, d, "vec_id % 50 = 0")
 
 
+def vector_topk_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector as a query against those of its label, the many queries in blocks that meet blocks of the rows."""
+    e = load(spark, d, "embeddings")
+    ranked = search.top_k(e, e, id_col="vec_id", vec_col="embedding", query_id="vec_id", query_vec="embedding", dim=64, k=4, group="label", exclude_self=True, block_bytes=64 * 512, block_rows=100)
+    return ranked.select("query_id", F.col("id").alias("vec_id"), "score", "rank")
+
+
 def _hits(spark: SparkSession, d: str) -> DataFrame:
     """Every chunk whose id is divisible by 50 as query against all chunks of its city."""
     c = load(spark, d, "bylaw_chunks")
@@ -540,6 +551,22 @@ def log_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return loaders.read_log(spark, path).select("timestamp", "city", "query", "status", "message", "ai_response", "ai_error", F.coalesce(F.size("retrieved_sources"), F.lit(0)).alias("n_sources"))
 
 
+def log_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The log's lines taken up by a file stream in two deliveries, each line once."""
+    path = new_folder(spark)
+    log = materialize(_log(spark, d).withColumn("timestamp", F.col("logged_at")))
+    for part in (0, 1):
+        store.append_jsonl(log.filter(F.pmod("log_id", F.lit(2)) == part).select("status", "message", "ai_response", "ai_error", "retrieved_sources", "city", "timestamp", "query"), f"{path}/in")
+        stream.run_available(stream.log_stream(spark, f"{path}/in"), f"{path}/out", f"{path}/state")
+    return spark.read.parquet(f"{path}/out").groupBy("city", "status").agg(F.count("*").alias("n"), F.count("query").alias("n_queries"))
+
+
+def settings(spark: SparkSession, d: str) -> DataFrame:
+    """Settings from arguments, the environment and their defaults, in this order."""
+    c = config.parse(config.IngestConfig, ["--chunk", "500", "--input", "in"], {"CW_CITY": "Vardale", "CW_CHUNK": "9"})
+    return spark.createDataFrame([(f.name, str(getattr(c, f.name))) for f in fields(c)], "name string, value string")
+
+
 def log_cooldown(spark: SparkSession, d: str) -> DataFrame:
     log = _log(spark, d).select("log_id", "city", F.try_to_timestamp("logged_at").alias("at"))
     return activity.repeats_within(log, ["city"], "at", 600).select("log_id")
@@ -552,11 +579,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        vector_topk, vector_topk_batch, vector_topk_by_collection, cosine_scores, city_routing, request_validation, request_decode, response_decode, city_requests, feedback,
+        vector_topk, vector_topk_batch, vector_topk_blocks, vector_topk_by_collection, cosine_scores, city_routing, request_validation, request_decode, response_decode, city_requests, feedback,
         input_caps, slug_filename, slug_id, bylaw_id, content_hash, nonblank_filter, whitespace_normalize, newline_collapse, paragraph_split, sentence_split, year_number,
         lenient_dates, url_join, fixed_chunks, chunk_sequence, chunk_overlap, chunk_counts, packed_chunks, packed_cover, chapter_table, chapter_tables, page_links, scoped_links, first_pdf, page_meta, html_text,
         links_distinct, json_loader, exists_scan, ingest_counters, missing_embedding, unified_chunks, legacy_chunks, sample_head, chunk_upsert, snapshot_upsert, bulk_append, update_embedding, key_uniqueness,
         slug_last_wins, change_detection, json_files, text_files, page_files, page_fetch, pdf_policies, sheet_rows, context_concat, source_list, sources_dedup_top5, history_text, history_first3, prompt_text, response_status, rag_end_to_end, serve_replies, serve_log, history_finished,
-        hash_embed, failed_embedding, reembed_fallback, log_roundtrip, log_cooldown, p2_found,
+        hash_embed, failed_embedding, reembed_fallback, log_roundtrip, log_stream, settings, log_cooldown, p2_found,
     )
 }

@@ -75,6 +75,9 @@ _LINKS = "WITH s AS (SELECT bylaw_id, regexp_replace(bylaw_id, '.*::', '') g FRO
 SQL = {
     "vector_topk": _nearest("vec_id = 0"),
     "vector_topk_batch": _nearest("vec_id % 50 = 0"),
+    "vector_topk_blocks": """
+WITH s AS (SELECT q.vec_id query_id, c.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) score FROM embeddings q JOIN embeddings c ON q.label = c.label AND q.vec_id <> c.vec_id)
+SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s QUALIFY rank <= 4""",
     "vector_topk_by_collection": _HITS + "SELECT query_id, rank, score, id AS chunk_id, bylaw_id, bylaw_title, bylaw_number, url FROM hits",
     "cosine_scores": """
 WITH a AS (SELECT label, arg_min(embedding, vec_id) anchor FROM embeddings GROUP BY label)
@@ -242,6 +245,9 @@ SELECT log_id, CASE WHEN none OR ai_error IS NOT NULL THEN 'degraded' ELSE 'ok'
   CASE WHEN NOT none THEN ai_error END AS ai_error, CASE WHEN none THEN 0 ELSE len(retrieved_sources) END::INT AS n_sources FROM x""",
     "log_roundtrip": f"""
 WITH l AS ({_LOG}) SELECT logged_at AS timestamp, city, query, status, message, ai_response, ai_error, coalesce(len(retrieved_sources), 0)::INT AS n_sources FROM l""",
+    "log_stream": f"WITH l AS ({_LOG}) SELECT city, status, count(*) AS n, count(query) AS n_queries FROM l GROUP BY ALL",
+    "settings": """
+SELECT name, value FROM (VALUES ('db', 'bylaws'), ('collection', 'bylaw_chunks'), ('city', 'Vardale'), ('input', 'in'), ('chunk', '500'), ('overlap', '150'), ('minchunk', '600'), ('batch', '64')) v(name, value)""",
     "log_cooldown": f"""
 WITH l AS ({_LOG}), t AS (SELECT log_id, city, epoch_ms(try_cast(logged_at AS timestamp)) t FROM l),
 g AS (SELECT log_id, t - max(t) OVER (PARTITION BY city ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) gap FROM t WHERE city IS NOT NULL AND t IS NOT NULL)
