@@ -29,6 +29,9 @@ from clausewright.runtime import materialize
 WORD = re.compile(r"[a-z0-9]+")
 SEGMENTS = 64
 _BATCH = 1000
+#: Rows of a key that one task compares with each other at most; longer ones are cut into blocks.
+HOT = 2048
+KEY_BUCKETS = 1 << 16
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -114,26 +117,56 @@ def _lower_bound(reach: float):
 
 
 def _verifier(n: int, threshold: float):
-    def ngrams(text: str) -> frozenset:
-        w = WORD.findall(text.lower())
-        return frozenset(zip(*(w[i:] for i in range(n))))
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen: dict[str, frozenset] = {}
-            found = []
-            for s, t in zip(b.column("text_a").to_pylist(), b.column("text_b").to_pylist()):
-                for x in (s, t):
-                    if x not in seen:
-                        seen[x] = ngrams(x)
-                both = len(seen[s] & seen[t])
-                found.append(both / max(1, len(seen[s]) + len(seen[t]) - both))
-            sim = np.array(found)
+            number: dict[tuple, int] = {}  # of each n-gram in the batch
+            sides = []
+            for c in ("text_a", "text_b"):
+                texts = b.column(c).dictionary_encode()  # a text in many pairs is read once
+                words = [WORD.findall(t.lower()) for t in texts.dictionary.to_pylist()]
+                grams = [frozenset([number.setdefault(g, len(number)) for g in zip(*(w[i:] for i in range(n)))]) for w in words]
+                sides.append((grams, texts.indices.to_numpy()))
+            (x, i), (y, j) = sides
+            both = np.fromiter((len(x[p] & y[q]) for p, q in zip(i.tolist(), j.tolist())), np.int64, b.num_rows)
+            size = [np.array([len(g) for g in grams], np.int64)[at] if len(grams) else at for grams, at in sides]
+            sim = both / np.maximum(1, size[0] + size[1] - both)
             yield pa.record_batch([b.column("a"), b.column("b"), pa.array(sim)], names=["a", "b", "similarity"]).filter(pa.array(sim >= threshold - 1e-12))
 
     return verify
 
 
+def _hot_keys(posts: DataFrame) -> DataFrame:
+    """(key, blocks) of the keys with more than HOT rows. Only keys in buckets of keys that stand out by half of that are counted one
+    by one, so next to nothing is shuffled for the many keys of a few rows."""
+    bucket = F.pmod("key", F.lit(KEY_BUCKETS))
+    buckets = materialize(posts.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("m")))
+    mean = (buckets.agg(F.sum("m")).first()[0] or 0) / KEY_BUCKETS
+    full = buckets.filter(F.col("m") > mean + HOT / 2).select("bucket")
+    counted = posts.withColumn("bucket", bucket).join(full, "bucket", "left_semi").groupBy("key").agg(F.count("*").alias("m"))
+    return materialize(counted.filter(F.col("m") > HOT).select("key", F.ceil(F.col("m") / HOT).cast("int").alias("blocks")))
+
+
+def _candidates(posts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b: ids that share a key and are of similar size; a pair comes once a key.
+
+    The rows of a hot key are cut into blocks of about HOT, and every two blocks meet under a key of their own, so that a key of a
+    third of all rows is spread over the tasks and loses no pair.
+    """
+    similar = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(threshold) - 1e-6
+    side = lambda df, i, *more: df.select("key", F.col("id").alias(i), F.col("n").alias(f"n_{i}"), *more)
+    hot = _hot_keys(posts)
+    some = not hot.isEmpty()
+    rest = posts.join(hot, "key", "left_anti") if some else posts
+    pairs = side(rest, "a").join(side(rest, "b"), "key").filter((F.col("a") < F.col("b")) & similar).select("a", "b")
+    if not some:
+        return pairs
+    cut = posts.join(hot, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    left = side(cut, "a", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
+    right = side(cut, "b", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"))
+    met = left.join(right, ["key", "i", "j"]).filter(similar & ((F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))))
+    return pairs.union(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
 def near_copies(
     docs: DataFrame, id_col: str, text_col: str, *, threshold: float = 0.8, ngram: int = 5, min_words: int = 20, bands: int = 48, rows: int = 4
 ) -> tuple[DataFrame, DataFrame]:
@@ -158,13 +191,7 @@ def near_copies(
     own, reach = F.floor(cell).cast("int"), F.floor(cell + (1 / 3 + 1e-6 if step > 1e-6 else 0)).cast("int")
     posts = signed.select("id", "n", F.explode("bands").alias("band"), F.sequence(own, reach).alias("cells"))
     posts = posts.select("id", "n", F.explode(F.transform("cells", lambda c: F.xxhash64("band", c))).alias("key"))
-    x, y = (posts.select(F.col("key"), F.col("id").alias(i), F.col("n").alias(f"n_{i}")) for i in "ab")
-    pairs = (
-        x.join(y, "key")
-        .filter((F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(threshold) - 1e-6))
-        .select("a", "b")
-        .distinct()
-    )
+    pairs = _candidates(posts, threshold).distinct()
     size = signed.select("id", "n", "pops")
     bounded = pairs
     for c in "ab":

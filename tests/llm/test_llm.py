@@ -62,6 +62,24 @@ def test_near_copies_brute(spark):
     assert set(groups) == set(sets) and groups[501].class_id == 7 and groups[501].group_id == groups[7].group_id
 
 
+def test_hot_keys_are_cut_and_lose_no_pair(spark, monkeypatch):
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        words[rng.randrange(60)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, " ".join(f"o{i}_{k}" for k in range(40))) for i in range(60)]
+    run = lambda: {(r.a, r.b) for r in _near(spark, rows, threshold=0.8, ngram=3)[0].collect()}
+    whole = run()
+    monkeypatch.setattr(nearcopies, "HOT", 10)
+    monkeypatch.setattr(nearcopies, "KEY_BUCKETS", 1 << 10)
+    posts = spark.createDataFrame([(i, 50, i % 3 if i < 90 else 1000 + i) for i in range(200)], "id long, n int, key long")
+    assert {(r.key, r.blocks) for r in nearcopies._hot_keys(posts).collect()} == {(0, 3), (1, 3), (2, 3)}
+    assert run() == whole and len(whole) > 6000
+
+
 def test_near_copies_long_and_empty(spark):
     long = " ".join(f"t{i}" for i in range(30_000))
     links, _ = _near(spark, [(1, long), (2, long + " end"), (3, "a " * 50)], threshold=0.8, ngram=5)
