@@ -209,8 +209,8 @@ def near_copies(
 def linked_ids(links: DataFrame, members: DataFrame) -> DataFrame:
     """(a, b) of ids, a < b: representatives' links, each further member with the other side's representative and
     with its own. Linear in members and links; copies are not expanded into all their pairs."""
-    more = members.filter("id <> rep")
-    pairs = links.select("a", "b")
+    more = materialize(members.filter("id <> rep"))
+    pairs = materialize(links.select("a", "b"))
     of_a = pairs.join(more, pairs.a == more.rep).select(F.col("id").alias("a"), "b")
     of_b = pairs.join(more, pairs.b == more.rep).select("a", F.col("id").alias("b"))
     every = pairs.union(of_a).union(of_b).union(more.select(F.col("rep").alias("a"), F.col("id").alias("b")))
