@@ -7,6 +7,7 @@ import os
 from dataclasses import dataclass, fields
 
 
+# The commands' option names and defaults.
 @dataclass(frozen=True)
 class IngestConfig:
     db: str = "bylaws"

@@ -19,7 +19,7 @@ STORE_DOWN = "The chunk store gave no results."
 STORE_DOWN_TEXT = "The by-laws cannot be searched at the moment. Please ask again later."
 MODEL_DOWN = "The language model gave no answer."
 MODEL_DOWN_TEXT = "No answer could be written at the moment. These are the sections that fit the question best."
-UNKNOWN_CITY = "Unknown City"
+NO_RESPONSE = "No response generated."
 SOURCE = "array<struct<title:string,bylaw_id:string,pdf_url:string>>"
 
 
@@ -138,7 +138,7 @@ def generate(prompt: Column, model: Model = extractive, settings: Sampling = Sam
             for p in s:
                 try:
                     pieces = model(p, settings) if p is not None else ()
-                    rows.append(("".join(x for x in pieces if x) or "No response generated.", None))
+                    rows.append(("".join(x for x in pieces if x) or NO_RESPONSE, None))
                 except Exception as e:
                     rows.append((None, str(e)))
             yield pd.DataFrame(rows, columns=["text", "error"])
@@ -175,7 +175,7 @@ def feedback_body(feedback: Column, email: Column) -> Column:
     return F.when(F.nullif(feedback, F.lit("")).isNotNull(), body)
 
 
-#: What a refused request is told, by the error of `validate`.
+# What a refused request is told, by the error of `validate`.
 REFUSED = {"not json": "Request must be JSON", "unknown city": "City Not found", "empty query": "Missing 'query' in request body"}
 
 

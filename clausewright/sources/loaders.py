@@ -12,6 +12,10 @@ from clausewright import schema
 from clausewright.functions.text import file_stem, py_strip
 
 
+# Fixed value: the city of a request that names none.
+UNKNOWN_CITY = "Unknown City"
+
+
 def _path() -> Column:
     """The file's path; the metadata hold it URL-encoded."""
     return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
@@ -119,7 +123,7 @@ def decode_requests(bodies: DataFrame, body: str) -> DataFrame:
     """bodies with query (stripped, '' if missing), city, conversation_context ([] if missing), timestamp and is_json from JSON."""
     j = F.from_json(F.col(body), schema.REQUEST)
     return bodies.withColumn("_j", j).select(
-        *[c for c in bodies.columns if c != body], py_strip(F.coalesce("_j.query", F.lit(""))).alias("query"), F.coalesce("_j.city", F.lit("Unknown City")).alias("city"),
+        *[c for c in bodies.columns if c != body], py_strip(F.coalesce("_j.query", F.lit(""))).alias("query"), F.coalesce("_j.city", F.lit(UNKNOWN_CITY)).alias("city"),
         F.coalesce("_j.conversation_context", F.array().cast(f"array<{schema.MESSAGE}>")).alias("conversation_context"), F.col("_j.timestamp").alias("timestamp"),
         F.coalesce(F.get_json_object(body, "$").startswith("{"), F.lit(False)).alias("is_json"),
     )
